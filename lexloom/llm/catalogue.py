@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexloom.llm import lookalikes, packing, splitting, term_frequency
+from lexloom.llm import lookalikes, packing, residue, splitting, term_frequency
 
-MODULES = [term_frequency, packing, splitting, lookalikes]
+MODULES = [residue, splitting, term_frequency, lookalikes, packing]
 
 
 def queries() -> dict:

@@ -108,13 +108,16 @@ class Rewriter:
         for m, r in (reps | self.styled).items():
             self.auto.add_word(m, (len(m), r, m in self.styled))
         self.auto.make_automaton()
-        odd = "".join(sorted({*map(chr, _STRIP), *(m for m in (*reps, *self.styled) if len(m) == 1), *(c for m in reps if len(m) > 1 for c in m[-1])}))
+        odd = "".join(sorted({*map(chr, _STRIP), *(m for m in (*reps, *self.styled) if len(m) == 1)}))
         safe = [c for c in reps if ord(c[0]) < 128]  # a plain letter is rewritten only into another script
-        self.suspect = re.compile("[" + re.escape("".join(c for c in odd if c not in safe)) + "]" + ("|" + "|".join(map(re.escape, safe)) if safe else ""))
+        # one set of the basic plane is a table lookup; with characters beyond it the set would be walked
+        self.suspect = re.compile("[" + re.escape("".join(c for c in odd if c not in safe and ord(c) < 0x10000)) + "]")
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+        self.long = [m for m in (*reps, *safe) if len(m) > 1 or m in safe]
         self.mimics = {m for m in reps if len(m) == 1}
 
     def __call__(self, t: str | None) -> str | None:
-        if t is None or not (self.suspect.search(t) or not unicodedata.is_normalized("NFC", t)):
+        if t is None or not (self.suspect.search(t) or self.beyond.search(t) or not unicodedata.is_normalized("NFC", t) or any(m in t for m in self.long)):
             return t
         t = t.translate(_STRIP)
         if "ௌ" in t:  # before another sign the second half is a letter, not the sign AU
