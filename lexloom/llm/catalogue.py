@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexloom.llm import lookalikes, packing, residue, splitting, term_frequency
+from lexloom.llm import lookalikes, markup, packing, residue, splitting, term_frequency
 
-MODULES = [residue, splitting, term_frequency, lookalikes, packing]
+MODULES = [residue, splitting, term_frequency, markup, lookalikes, packing]
 
 
 def queries() -> dict:
