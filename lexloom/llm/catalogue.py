@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexloom.llm import lookalikes, markup, near_duplicates, packing, residue, splitting, term_frequency
+from lexloom.llm import leakage, lookalikes, markup, near_duplicates, packing, residue, splitting, term_frequency
 
-MODULES = [residue, splitting, term_frequency, markup, near_duplicates, lookalikes, packing]
+MODULES = [residue, splitting, term_frequency, markup, near_duplicates, lookalikes, packing, leakage]
 
 
 def queries() -> dict:
