@@ -50,7 +50,12 @@ class Words:
         self.form = Rewriter(representatives({}, classes()))
 
     def __call__(self, t: str | None) -> list[str]:
-        return WORD.findall(self.form(t).lower().replace("_", " ")) if t else []  # type: ignore[union-attr]
+        return self.plain(self.form(t)) if t else []  # type: ignore[arg-type]
+
+    @staticmethod
+    def plain(t: str) -> list[str]:
+        """The words of a text that is in the consistent form already."""
+        return WORD.findall(t.lower().replace("_", " "))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
