@@ -30,6 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from lexloom.session import Cut, cut, read, spread
 WORDS = r"[\p{L}\p{M}\p{Nd}]+"
 CELLS = 1 << 18  #: counters of index keys, whatever the data
 BAND = 1.29  #: widest ratio of sizes in a band
+WIDE = 50  #: words from which a set carries a wider sketch
 SLACK = 1.15  #: segments beyond the fewest that units can be spent on
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _N = np.uint64(0x94D049BB133111EB)
@@ -78,10 +80,11 @@ class Bands:
 class Batch:
     """The elements of a batch of sets, laid end to end."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        self.e = _mix(np.concatenate(sets).astype(np.uint64)) if len(sets) else np.zeros(0, np.uint64)
-        self.rec = np.repeat(np.arange(len(sets)), self.n)
+    def __init__(self, elems: pa.ListArray):
+        at = elems.offsets.to_numpy()
+        self.n = np.diff(at).astype(np.int64)
+        self.e = _mix(elems.values.to_numpy()[at[0] : at[-1]].view(np.uint64))
+        self.rec = np.repeat(np.arange(len(self.n)), self.n)
 
     def sketch(self) -> np.ndarray:
         """52 parity bits of the elements above 12 bits of the size (at most 4095)."""
@@ -90,6 +93,16 @@ class Batch:
         np.bitwise_xor.at(out, self.rec, bit)
         return (out | np.minimum(self.n, 4095).astype(np.uint64)).view(np.int64)
 
+    def wide(self) -> pa.ListArray:
+        """For sets the short sketch says little about: parity bits in words, twice as many a level up; null for the others."""
+        words = np.where(self.n < WIDE, 0, 2 << np.searchsorted(WIDE * 1.7 * 2.0 ** np.arange(5), self.n, side="right"))
+        start = np.concatenate([[0], np.cumsum(words)])
+        own = words[self.rec] > 0
+        bit = (self.e[own] >> np.uint64(7)) % (words[self.rec[own]] * 64).astype(np.uint64)
+        flat = np.zeros(start[-1], np.uint64)
+        np.bitwise_xor.at(flat, start[self.rec[own]] + (bit >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), bit & np.uint64(63)))
+        return pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat.view(np.int64)), mask=pa.array(words == 0))
+
     def segments(self, pick: np.ndarray, band: np.ndarray, bands: Bands):
         """For the picked sets cut as in the given bands: sums of segments and of segments less one element."""
         m = bands.m[band]
@@ -165,7 +178,10 @@ def _elements(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(rec, set) of every text with enough words and (set, elems) of every different set."""
+    """(rec, set) of every text with enough words and (set, id, elems) of every different set.
+
+    ``id`` is short, as it goes with every key; it holds once the table is written.
+    """
     x = df.select(F.col(id_col).alias("rec"), F.col(text_col).alias("t")).where("t is not null")
     words = F.expr(f"sort_array(transform(regexp_extract_all(lower(t), '{WORDS.replace(chr(92), chr(92) * 2)}', 0), w -> xxhash64(w)))")
     x = x.select("rec", words.alias("h")).where(F.size("h") >= min_words)
@@ -176,54 +192,66 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tupl
 
     x = x.select("rec", F.xxhash64("h").alias("set"), "h")
     one = x.groupBy("set").agg(F.first("h").alias("h"))
-    return x.select("rec", "set").distinct(), one.select("set", F.pandas_udf(elems, "array<bigint>")("h").alias("elems"))  # type: ignore[call-overload]
+    sets = one.select("set", F.monotonically_increasing_id().alias("id"), F.pandas_udf(elems, "array<bigint>")("h").alias("elems"))  # type: ignore[call-overload]
+    return x.select("rec", "set").distinct(), sets
 
 
-_ROW = "key long, id long, m long"
+_ROW = "key long, id long, m long, w array<bigint>"
 
 
 def similar_sets(sets: DataFrame, t: float, min_words: int) -> DataFrame:
-    """(a, b, shared, n_a, n_b): all pairs of different sets of similarity ``t`` or more, a < b."""
+    """(a, b, shared, n_a, n_b): all pairs of different sets (of a written table) of similarity ``t`` or more, a < b."""
     bands = Bands(t, min_words)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int64)
-        for pdf in batches:
-            if len(pdf):
-                k, _ = index_keys(Batch(list(pdf["elems"])), bands)
+        for rb in batches:
+            if rb.num_rows:
+                k, _ = index_keys(Batch(rb.column("elems")), bands)
                 n += np.bincount((k % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         c = np.nonzero(n)[0]
-        yield pd.DataFrame({"c": c, "n": n[c]})
+        yield pa.RecordBatch.from_pydict({"c": pa.array(c.astype(np.int32)), "n": pa.array(n[c])})
 
     counts = np.zeros(CELLS, np.int64)
-    got = sets.select("elems").mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    got = sets.select("elems").mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
     counts[got["c"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
 
     def emit(keys):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for at in range(0, len(pdf), 2000):
-                    part = pdf.iloc[at : at + 2000]
-                    b = Batch(list(part["elems"]))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                for at in range(0, rb.num_rows, 2000):
+                    part = rb.slice(at, 2000)
+                    b = Batch(part.column("elems"))
                     k, r = keys(b)
-                    yield pd.DataFrame({"key": k.view(np.int64), "id": part["set"].to_numpy()[r], "m": b.sketch()[r]})
+                    order = np.argsort(r, kind="stable")  # rows of a set together compress well
+                    r = pa.array(r[order])
+                    cols = [pa.array(k.view(np.int64)[order]), part.column("id").take(r), pa.array(b.sketch()).take(r), b.wide().take(r)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "m", "w"])
 
         return run
 
-    ix = sets.mapInPandas(emit(lambda b: index_keys(b, bands)), _ROW)
-    pr = sets.mapInPandas(emit(lambda b: probe_keys(b, bands, shared.value)), _ROW)
-    ix = ix.select("key", F.col("id").alias("a"), F.col("m").alias("ma"))
-    pr = pr.select("key", F.col("id").alias("b"), F.col("m").alias("mb"))
+    src = sets.select("id", "elems")
+    ix = src.mapInArrow(emit(lambda b: index_keys(b, bands)), _ROW)
+    pr = src.mapInArrow(emit(lambda b: probe_keys(b, bands, shared.value)), _ROW)
+    ix = ix.select("key", F.col("id").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa"))
+    pr = pr.select("key", F.col("id").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"))
     c = bands.c
     na, nb = "(ma & 4095)", "(mb & 4095)"
+    most = f"({na} + {nb}) * {c.numerator}"
     lower = f"({na} < {nb} or {na} = {nb} and (a < b or {na} = 4095 and a <> b))"
-    near = f"({nb} = 4095 or (({na} + {nb}) * {c.numerator} >= bit_count(shiftrightunsigned(ma ^ mb, 12)) * {c.denominator} and {na} * {bands.t.denominator} >= {nb} * {bands.t.numerator}))"
-    pairs = ix.join(pr, "key").where(f"{lower} and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = sets.select(F.col("set").alias("a"), F.col("elems").alias("ea"))
-    right = sets.select(F.col("set").alias("b"), F.col("elems").alias("eb"))
-    x = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("shared"), F.size("ea").alias("n_a"), F.size("eb").alias("n_b"))
-    return x.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= t)
+    near = f"({nb} = 4095 or ({most} >= bit_count(shiftrightunsigned(ma ^ mb, 12)) * {c.denominator} and {na} * {bands.t.denominator} >= {nb} * {bands.t.numerator}))"
+    half = "(size(wb) div 2)"  # the larger set's sketch may be one level wider: its halves are folded
+    folded = f"if(size(wb) > size(wa), zip_with(slice(wb, 1, {half}), slice(wb, {half} + 1, {half}), (x, y) -> x ^ y), wb)"
+    differ = f"aggregate(zip_with(wa, {folded}, (x, y) -> bit_count(x ^ y)), 0, (z, x) -> z + x)"
+    wide = f"case when wa is null or wb is null or {nb} = 4095 then true else {most} >= {differ} * {c.denominator} end"
+    pairs = ix.join(pr, "key").where(f"{lower} and {near}").where(wide).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    left = sets.select(F.col("id").alias("x"), F.col("set").alias("sx"), F.col("elems").alias("ex"))
+    right = sets.select(F.col("id").alias("y"), F.col("set").alias("sy"), F.col("elems").alias("ey"))
+    z = pairs.join(left, "x").join(right, "y").withColumn("shared", F.size(F.array_intersect("ex", "ey"))).withColumn("swap", F.expr("sx > sy"))
+    z = z.where(F.col("shared") / (F.size("ex") + F.size("ey") - F.col("shared")) >= t)
+    pick = lambda p, q: F.when(F.col("swap"), q).otherwise(p)
+    return z.select(pick(F.col("sx"), F.col("sy")).alias("a"), pick(F.col("sy"), F.col("sx")).alias("b"), "shared", pick(F.size("ex"), F.size("ey")).alias("n_a"), pick(F.size("ey"), F.size("ex")).alias("n_b"))
 
 
 def components(links: DataFrame) -> DataFrame:
