@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexloom.llm import leakage, lookalikes, markup, near_duplicates, packing, residue, splitting, subjects, term_frequency
+from lexloom.llm import leakage, lookalikes, markup, near_duplicates, nearest_vectors, packing, residue, splitting, subjects, term_frequency
 
-MODULES = [residue, splitting, term_frequency, markup, near_duplicates, lookalikes, packing, leakage, subjects]
+MODULES = [residue, splitting, term_frequency, nearest_vectors, markup, near_duplicates, lookalikes, packing, leakage, subjects]
 
 
 def queries() -> dict:
