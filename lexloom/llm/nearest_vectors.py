@@ -229,7 +229,7 @@ def _compare(vectors: DataFrame, pairs: DataFrame, dim: int) -> DataFrame:
             ids = rb.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             yield rb.filter(pa.array(b[(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)]))
 
-    got = need.join(vectors.mapInArrow(some, "id long, vec array<float>"), "id")
+    got = need.join(vectors.mapInArrow(some, "id long, vec array<float>"), "id").select(F.col("leaf").alias("to"), "id", "vec")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         x, rows = _matrix(right.column("vec"), dim)
@@ -241,7 +241,7 @@ def _compare(vectors: DataFrame, pairs: DataFrame, dim: int) -> DataFrame:
         s = np.concatenate([(x[a[i : i + 4096]] * x[b[i : i + 4096]]).sum(1) for i in range(0, len(a), 4096)]) if len(a) else np.zeros(0)
         return pa.table({"v": pa.array(v, pa.int64()), "m": pa.array(m, pa.int64()), "s": pa.array(np.round(s, 6))})
 
-    return pairs.groupBy("leaf").cogroup(got.groupBy("leaf")).applyInArrow(score, "v long, m long, s double")
+    return pairs.groupBy("leaf").cogroup(got.groupBy("to")).applyInArrow(score, "v long, m long, s double")
 
 
 def neighbour_graph(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wanted_col: str, dim: int, rounds: int = ROUNDS) -> DataFrame:
