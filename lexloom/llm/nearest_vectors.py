@@ -289,6 +289,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wa
     first = Cut(marks.withColumn("r", rank).where(F.col("r") <= k + 1), "first").df
     graph = neighbour_graph(vectors, id_col, vec_col, first, "id", dim)
     own = graph.select("v", F.posexplode(F.slice(F.arrays_zip("n", "s"), 1, k)).alias("p", "e")).select("v", "e.n", "e.s", (F.col("p") + 1).alias("rank"))
+    first = first.join(graph.select(F.col("v").alias("id")), "id", "left_semi")  # invalid vectors have no list, their copies get none
     copies = marks.join(first.select("id"), "id", "left_anti")
     theirs = copies.join(first.where(F.col("r") <= k).select("h", "g", F.col("id").alias("n"), F.col("r").alias("rank")), ["h", "g"])
     return own.unionByName(theirs.select(F.col("id").alias("v"), "n", F.lit(1.0).alias("s"), "rank"))
