@@ -38,9 +38,9 @@ from lexloom.session import Cut, cut, read, spread
 
 WORDS = r"[\p{L}\p{M}\p{Nd}]+"
 CELLS = 1 << 18  #: counters of index keys, whatever the data
-BAND = 1.29  #: widest ratio of sizes in a band
+BAND = 1.45  #: widest ratio of sizes in a band
 WIDE = 50  #: words from which a set carries a wider sketch
-SLACK = 1.15  #: segments beyond the fewest that units can be spent on
+SLACK = 1.5  #: segments beyond the fewest that units can be spent on
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _N = np.uint64(0x94D049BB133111EB)
 _S = np.uint64(31)
