@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import lexicons as L
 
@@ -54,9 +55,11 @@ def _script(s: pd.Series) -> pd.Series:
     return s.map(romanised_to_script, na_action="ignore")
 
 
-nfc = F.pandas_udf(_nfc, "string")  # type: ignore[call-overload]
-highlight_offsets = F.pandas_udf(_spans, "array<struct<start:int,end:int>>")  # type: ignore[call-overload]
-transliterate = F.pandas_udf(_script, "string")  # type: ignore[call-overload]
+# Types as objects: this module is imported by workers too, where no session parses them.
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+nfc = F.pandas_udf(_nfc, T.StringType())  # type: ignore[call-overload]
+highlight_offsets = F.pandas_udf(_spans, _SPANS)  # type: ignore[call-overload]
+transliterate = F.pandas_udf(_script, T.StringType())  # type: ignore[call-overload]
 
 
 def register(spark: SparkSession) -> None:

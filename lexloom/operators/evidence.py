@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators.index import CAP, first_ids, positions
 from lexloom.operators.rank import first_wins, priority
+from lexloom.session import cut
 
 #: Resources in lookup order; the position is part of the ordinal.
 RESOURCES = ("morphology", "definitions", "dictionary", "wordnet", "verses", "corpus")
@@ -159,13 +160,11 @@ class Engine:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """Evidence of (query_id, query): surface lookups with sentinels, then lookups of every lemma, deduplicated."""
-        q = queries.where("trim(query) <> ''").select("query_id", F.trim("query").alias("query")).distinct()
+        q = cut(queries.where("trim(query) <> ''").select("query_id", F.trim("query").alias("query")).distinct(), "queries")
         keys = q.withColumn("pass", F.lit(1)).withColumn("key", F.col("query"))
-        rows = []
-        for name, f in self.res:
-            found = f(keys)
-            rows += [found, sentinels(keys, found, name)]
-        one = reduce(DataFrame.unionByName, rows)
-        more = lemmas(one).select("query_id", "query", F.lit(2).alias("pass"), F.col("lemma").alias("key"))
+        # written once: the sentinels and the lemmas of the second pass are taken from it
+        found = cut(reduce(DataFrame.unionByName, [f(keys) for _, f in self.res]), "pass1")
+        one = reduce(DataFrame.unionByName, [found, *[sentinels(keys, found.where(F.col("resource") == name), name) for name, _ in self.res]])
+        more = cut(lemmas(found).select("query_id", "query", F.lit(2).alias("pass"), F.col("lemma").alias("key")), "lemmas")
         two = [f(more) for name, f in self.res if name != "morphology"]
-        return dedupe(reduce(DataFrame.unionByName, [one, *two]))
+        return cut(dedupe(reduce(DataFrame.unionByName, [one, *two])), "evidence")
