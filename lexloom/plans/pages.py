@@ -1 +1,46 @@
-"""Queries of the build pipeline."""
+"""Queries of the build pipeline: blocks, headings, units, and the index kept by a stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexloom.operators import index
+from lexloom.plans.catalogue import _TOKENS, _strip, query
+from lexloom.session import read, shared_dir, spread
+from lexloom.sources import pages
+from lexloom.streaming.refresh import maintain
+
+_BLOCKS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n\\s*\\n+'), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+@query(f"select doc_id, count(*) as n_blocks, sum(length(b))::bigint as n_chars from (select doc_id, unnest({_BLOCKS}) b from (select distinct doc_id, text from documents where text is not null)) group by 1")
+def unit_segmenter(spark, d):
+    b = pages.blocks(spread(read(spark, d, "documents").select("doc_id", "text")).distinct(), "doc_id", "text")
+    return b.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"))
+
+
+@query("""
+with l as (select doc_id, unnest(generate_series(1, len(p))) n, unnest(p) line from (select distinct doc_id, string_split(text, chr(10)) p from documents where text is not null)),
+h as (select *, regexp_matches(line, '^#{1,6}\\s') hd, last_value(case when regexp_matches(line, '^#{1,6}\\s') then trim(line) end ignore nulls) over (partition by doc_id order by n) heading from l)
+select doc_id, n, heading, sha256(line) as line_key from h where not hd
+""")
+def heading_carry_forward(spark, d):
+    x = spread(read(spark, d, "documents").where("text is not null").select("doc_id", "text")).distinct()
+    x = x.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    y = pages.carry(x, "doc_id", "p", "line", F.col("line").rlike(r"^#{1,6}\s"))
+    return y.select("doc_id", (F.col("p") + 1).cast("bigint").alias("n"), "heading", F.sha2("line", 256).alias("line_key"))
+
+
+@query()
+def stanza_units(spark, d):
+    """The units the stanza segmenter makes of the documents."""
+    t = spread(read(spark, d, "documents").select("doc_id", "text")).distinct()
+    return pages.stanzas(t, "doc_id", "text").select(F.col("id").alias("doc_id"), "stanza_number", "verse_number", "canto", "original_text")
+
+
+@query(f"select token, count(*) as n_tokens, count(distinct chunk_id) as n_units from (select chunk_id, unnest(regexp_extract_all(lower(normalized_text), '{_TOKENS}')) token from (select * from chunks qualify row_number() over (partition by chunk_id order by loaded_at desc) = 1)) group by 1")
+def index_refresh_stream(spark, d):
+    pos = maintain(spark, f"{d}/chunks.parquet", f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "chunk_id", "normalized_text", "loaded_at")
+    return index.token_stats(pos)
