@@ -327,6 +327,8 @@ def clean(t: str | None) -> tuple[list[str], str | None]:
             t = f(t, store)
     t = re.sub(r"[ \t]+$|^[ \t]+(?=•|\d+\. )", "", t, flags=re.M)
     t = re.sub(r"\n{3,}", "\n\n", t).strip()
+    for mark in ("•", r"\d+\."):  # items of one list stand together
+        t = re.sub(rf"^({mark} [^\n]*)\n\n(?={mark} )", r"\1\n", t, flags=re.M)
     return found, store.back(t).strip("\n")
 
 

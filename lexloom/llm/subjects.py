@@ -49,7 +49,7 @@ def learn(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[dict
     known = labels.where(F.col("subject").isin([*subjects, REST])).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     held = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     t = docs.join(F.broadcast(held), "doc_id").select("labels", F.lower("text").alias("t"))
-    words = F.array_distinct(F.expr(r"regexp_extract_all(t, '[\\p{L}\\p{M}]+', 0)"))
+    words = F.array_distinct(F.expr(r"regexp_extract_all(t, '[\\p{L}\\p{M}\\p{N}]+', 0)"))
     x = t.select("labels", words.alias("w"))
     cuts = [F.transform(F.filter("w", lambda z, k=k: F.length(z) >= k), lambda z, k=k: F.concat(F.lit("~"), F.substring(z, 1, k))) for k in PREFIXES]
     x = x.select("labels", F.explode(F.array_distinct(F.concat("w", *cuts))).alias("f"))
@@ -100,7 +100,8 @@ def fit(patterns: dict[tuple[int, ...], int], k: int, rounds: int = 40) -> dict[
                 if total > 0:
                     # at least better than chance, at most short of certainty
                     acc[j, side] = min(0.995, max(1.2 / (k + 1), (m * right)[:, cls].sum() / total))
-        acc[0] = np.maximum(acc[0], 0.9)  # the lexicon anchors the classes
+        acc[0] = np.maximum(acc[0], 0.9)  # the lexicon anchors the classes: no other function alone outvotes it
+        acc[1:] = np.minimum(acc[1:], 0.95 * acc[0].min())
     return {x: int(c) for x, c in zip(keys, post.argmax(1))}
 
 
