@@ -34,7 +34,7 @@ from lexloom.session import Cut, read, spread
 
 LABELLED = 20_000  #: most labelled documents the lexicon is learned from
 LEXICON = 50_000  #: most entries of the lexicon
-MIN_DOCS, MIN_SHARE = 5, 0.6  #: labelled documents that hold an entry, share of them with its subject
+MIN_SHARE, MIN_GAIN = 0.6, 9.0  #: share of an entry's labelled documents with its subject; k ln(share / subject's share) at least
 SHARE = 0.25  #: of a document's sentences
 REST = "miscellany"
 PREFIXES = (4, 5, 6)
@@ -44,6 +44,32 @@ ADDRESS = re.compile(r"(?:https?://|www\.|@)([\w.\-]+\.[a-z]{2,})", re.I)
 ABSTAIN = -1
 
 
+# How Tamil letters are written in Latin ones in romanised texts.
+_CONSONANTS = dict(zip("கஙசஞடணதநபமயரலவழளறனஷஸஜஹ", "k ng s nj t n th n p m y r l v zh l r n sh s j h".split()))
+_VOWELS = dict(zip("அஆஇஈஉஊஎஏஐஒஓஔ", "a aa i ii u uu e ee ai o oo au".split()))
+_SIGNS = dict(zip("ாிீுூெேைொோௌ", "aa i ii u uu e ee ai o oo au".split()))
+
+
+def romanise(word: str) -> str:
+    """A Tamil word as romanised texts write it: a consonant without sign or dot keeps its a."""
+    out = []
+    for c, after in zip(word, word[1:] + " "):
+        if c in _CONSONANTS:
+            out.append(_CONSONANTS[c] + ("" if after in _SIGNS or after == "்" else "a"))
+        elif c != "்":
+            out.append(_VOWELS.get(c) or _SIGNS.get(c) or c)
+    return "".join(out)
+
+
+def with_romanised(words: dict[str, int]) -> dict[str, int]:
+    """The lexicon with the Latin form of its Tamil words, where that form is not known otherwise or ambiguous."""
+    forms: dict[str, set[int]] = {}
+    for w, s in words.items():
+        if w and w[0] in _CONSONANTS | _VOWELS:
+            forms.setdefault(romanise(w), set()).add(s)
+    return {**{f: next(iter(s)) for f, s in forms.items() if len(s) == 1}, **words}
+
+
 def learn(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[dict[str, int], dict[str, int]]:
     """Words and word beginnings -> number of the subject (1-based), from labelled documents."""
     known = labels.where(F.col("subject").isin([*subjects, REST])).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
@@ -55,15 +81,19 @@ def learn(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[dict
     x = x.select("labels", F.explode(F.array_distinct(F.concat("w", *cuts))).alias("f"))
     n = x.groupBy("f").agg(F.count("*").alias("n"), *[F.sum(F.array_contains("labels", s).cast("int")).alias(f"s{i}") for i, s in enumerate(subjects, 1)])
     top = F.greatest(*[F.col(f"s{i}") for i in range(1, len(subjects) + 1)], F.lit(0))
-    kept = n.where((F.col("n") >= MIN_DOCS) & (top >= MIN_SHARE * F.col("n"))).orderBy(F.desc("n"), "f").limit(LEXICON).collect()
+    total = held.agg(F.count("*").alias("n"), *[F.sum(F.array_contains("labels", s).cast("int")).alias(f"s{i}") for i, s in enumerate(subjects, 1)]).first()
+    kept = n.where((F.col("n") >= 3) & (top >= MIN_SHARE * F.col("n"))).orderBy(F.desc("n"), "f").limit(LEXICON).collect()
     words_of, starts = {}, {}
     for r in kept:
         best = max(range(1, len(subjects) + 1), key=lambda i: (r[f"s{i}"], -i))
+        k = r[f"s{best}"]
+        if k * np.log(k / r["n"] * total["n"] / total[f"s{best}"]) < MIN_GAIN:
+            continue
         if r["f"][0] == "~":
             starts[r["f"][1:]] = best
         else:
             words_of[r["f"]] = best
-    return words_of, starts
+    return with_romanised(words_of), starts
 
 
 def fit(patterns: dict[tuple[int, ...], int], k: int, rounds: int = 40) -> dict[tuple[int, ...], int]:
