@@ -141,8 +141,9 @@ _ELIGIBLE = f"(select *, {_ELIG} as reason from (select *, {_strip('original_tex
 
 
 def _prepared(spark, d) -> DataFrame:
-    c = spread(read(spark, d, "chunks").select("chunk_id", "work", "period", "chapter", "canto", "original_text")).distinct()
-    c = c.withColumn("cleaned", T.clean_passage("original_text"))
+    c = spread(read(spark, d, "chunks").select("chunk_id", "work", "period", "chapter", "canto", "original_text"))
+    # written once: the rules below name the cleaned text many times, and a filter on them would clean it again for each
+    c = cut(c.withColumn("cleaned", T.clean_passage("original_text")).distinct(), "cleaned")
     return c.withColumn("reason", T.eligibility("chunk_id", "original_text", "cleaned"))
 
 
