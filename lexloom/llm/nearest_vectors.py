@@ -295,6 +295,42 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wa
     return own.unionByName(theirs.select(F.col("id").alias("v"), "n", F.lit(1.0).alias("s"), "rank"))
 
 
+def greedy_search(graph: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, k: int = 5, dim: int = 384, beam: int = 16, seeds: int = 512, steps: int = 12) -> DataFrame:
+    """(q, n, s, rank) of new queries (id, vector): a greedy walk over a finished graph.
+
+    Each query starts at the best of a bounded set of seed nodes; a step compares
+    it with the neighbours of its best nodes that it has not met, and the walk
+    ends when no query finds a better node.  The queries' ids must not be ids of
+    the graph's vectors.
+    """
+    spark = vectors.sparkSession
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
+    asked = queries.select(F.col(query_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
+    both = Cut(base.unionByName(asked), "walk").df
+    lists = Cut(graph.select("v", "n"), "graph").df
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    start = lists.select(F.col("v").alias("m")).orderBy(F.xxhash64("v"), "v").limit(seeds)  # at most `seeds` rows
+    home = F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int").alias("leaf")
+    pairs = asked.select(F.col("id").alias("v")).distinct().crossJoin(F.broadcast(start)).select(home, "v", "m")
+    w = Window.partitionBy("v").orderBy(F.desc("s"), "m")
+    met = Cut(_compare(both, pairs, dim).distinct(), "met")
+    best = Cut(met.df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).select("v", "m", "s", F.lit(False).alias("done")), "beam")
+    for _ in range(steps):
+        front = best.df.where("not done")
+        new = front.select("v", F.col("m").alias("at")).join(lists.select(F.col("v").alias("at"), F.explode("n").alias("m")), "at").select("v", "m").distinct()
+        new = Cut(new.join(met.df.select("v", "m"), ["v", "m"], "left_anti").select(home, "v", "m"), "step")
+        if not new.df.limit(1).count():
+            break
+        found = Cut(_compare(both, new.df, dim).distinct(), "found")
+        merged = best.df.withColumn("done", F.lit(True)).unionByName(found.df.withColumn("done", F.lit(False)))
+        after = Cut(merged.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).drop("r"), "beam")
+        seen = Cut(met.df.unionByName(found.df), "met")
+        for x in (best, new, found, met):
+            x.drop()
+        best, met = after, seen
+    return best.df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("v").alias("q"), F.col("m").alias("n"), "s", "rank")
+
+
 def _nearest(spark, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "madurai_vectors"), "vector_index", "vector", read(spark, sf_dir, "madurai_semantic_meta"), "vector_index")
 

@@ -89,6 +89,21 @@ def test_nearest(spark, monkeypatch):
     assert nearest_vectors.nearest(v.limit(0), "i", "v", ask, "i", 5, 16).count() == 0
 
 
+def test_greedy_search(spark):
+    rows = _vectors(4)
+    v = spark.createDataFrame(rows[:360], "i long, v array<float>")
+    q = spark.createDataFrame([(10_000 + i, x) for i, x in rows[360:]] + [(9, None)], "i long, v array<float>")
+    g = nearest_vectors.neighbour_graph(v, "i", "v", v, "i", 16)
+    got: dict = {}
+    for r in nearest_vectors.greedy_search(g, v, "i", "v", q, "i", 5, 16, seeds=40).collect():
+        got.setdefault(r.q - 10_000, set()).add(r.n)
+    m = np.array([x for _, x in rows], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m[360:] @ m[:360].T
+    hits = sum(len(got[360 + a] & set(np.argsort(-s[a])[:5].tolist())) for a in range(40))
+    assert len(got) == 40 and hits / 200 >= 0.9
+
+
 MARKED = {
     "<p>a</p>": "html", "x<br": "html", "a</font></b": "html", "x<!-- c -->": "html", "a&#2965;b": "entity", "&lt;p&gt;x&lt;/p&gt;": "entity", "**b**": "markdown", "*a b*": "markdown", "_a_": "markdown", "`c`": "markdown", "```\nx\n```": "markdown", "# head": "markdown",
     "Head\n====": "markdown", "> q": "markdown", "[t](https://x.example/a)": "markdown", "![a](/i.png)": "markdown", "- a\n- b": "markdown", "|a|b|\n|---|---|": "markdown", "~~x~~": "markdown", "== h ==": "wiki", "[[a|b]]": "wiki", "{{verse|a|no=1}}": "wiki", "'''b'''": "wiki", "{|\n|-\n| a\n|}": "wiki",
