@@ -39,7 +39,8 @@ from lexloom.session import Cut, cut, read, spread
 WORDS = r"[\p{L}\p{M}\p{Nd}]+"
 CELLS = 1 << 18  #: counters of index keys, whatever the data
 BAND = 1.45  #: widest ratio of sizes in a band
-WIDE = 50  #: words from which a set carries a wider sketch
+WIDE = 30  #: words from which a set carries a wider sketch
+LEVELS = np.array([85, 170, 340, 680, 1360])  #: sizes at which that sketch doubles
 SLACK = 1.5  #: segments beyond the fewest that units can be spent on
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _N = np.uint64(0x94D049BB133111EB)
@@ -95,7 +96,7 @@ class Batch:
 
     def wide(self) -> pa.ListArray:
         """For sets the short sketch says little about: parity bits in words, twice as many a level up; null for the others."""
-        words = np.where(self.n < WIDE, 0, 2 << np.searchsorted(WIDE * 1.7 * 2.0 ** np.arange(5), self.n, side="right"))
+        words = np.where(self.n < WIDE, 0, 2 << np.searchsorted(LEVELS, self.n, side="right"))
         start = np.concatenate([[0], np.cumsum(words)])
         own = words[self.rec] > 0
         bit = (self.e[own] >> np.uint64(7)) % (words[self.rec[own]] * 64).astype(np.uint64)
