@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import lexicons as L
 from lexloom.functions import text as T
 from lexloom.functions.udfs import highlight_offsets, transliterate
-from lexloom.operators import evaluate, index, rank, vectors, wsd
+from lexloom.operators import answer, evaluate, index, rank, vectors, wsd
 from lexloom.operators.evidence import Engine, gate, ranked, summary, support
 from lexloom.session import cut, read, spread
 
@@ -436,6 +436,26 @@ def coverage_by_category(spark, d):
     return evaluate.coverage(hits, cases)
 
 
+@query(_EV + "select query as query_id, count(*) as total, count_if(kind = 'morphology')::bigint as morphology, count_if(kind = 'lexical')::bigint as lexical, count_if(kind = 'literary_context')::bigint as literary, count(distinct resource) as resources from ded where status = 'FOUND' group by 1")
+def evidence_counts(spark, d):
+    _, e = _engine(spark, d)
+    return answer.counts(e)
+
+
+@query(_EV + ", l as (select query, unnest([lemma]) l from ded where status = 'FOUND') select query as query_id, array_to_string(list_sort(list(distinct l)), ',') as lemmas from l where trim(l) <> '' group by 1 having count(distinct l) > 1")
+def lemma_conflicts(spark, d):
+    _, e = _engine(spark, d)
+    return answer.conflicts(e)
+
+
+@query()
+def answer_json(spark, d):
+    """One JSON answer for every word of the held-out queries."""
+    q, e = _engine(spark, d)
+    q = q.withColumn("query", F.col("query"))
+    return answer.answers(q, cut(ranked(e), "ranked"), summary(e, q))
+
+
 # ---- dedupe, upserts, histories -------------------------------------------
 
 

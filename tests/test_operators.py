@@ -109,3 +109,23 @@ def test_measures(spark):
     assert k[1].recall == 0 and k[2].recall == 0.25 and k[2].mrr == 0.25
     t = {x.tau: x for x in evaluate.threshold_sweep(rel, [0.0, 0.95]).collect()}
     assert t[0.95].rejected == 1.0 and t[0.95].precision == 0.0 and t[0.0].gold_retention == round(1 / 3, 6)
+
+
+def test_answers(spark):
+    from lexloom.operators import answer
+
+    rows = [
+        ("q", "மரம்", "definitions", "1", "மரம்", "மரம்", " tree ", None, "", None, "lexical", "FOUND", 2), ("q", "மரம்", "definitions", "2", "மரம்", "மரம்", "tree", None, "", None, "lexical", "FOUND", 3),
+        ("q", "மரம்", "definitions", "3", "மரம்", "மரம்", "wood", None, "", None, "lexical", "FOUND", 1), ("q", "மரம்", "corpus", "c1", "மரம்", None, None, "ஒரு மரம் நின்றது. வேறு\nவரி", "w", "Sangam", "literary_context", "FOUND", 4),
+        ("z", "இல்லை", "corpus", "", "இல்லை", None, None, None, None, None, "lexical", "NOT_FOUND", 1),
+    ]
+    e = spark.createDataFrame(rows, "query_id string, query string, resource string, source_id string, surface string, lemma string, meaning string, passage string, work string, period string, evidence_type string, status string, rank int").withColumn("verse", F.lit("1")).withColumn("analysis_type", F.lit(None).cast("string"))
+    q = e.select("query_id", "query").distinct()
+    assert [tuple(r) for r in answer.meanings(e).collect()] == [("q", "wood; tree")]
+    assert tuple(answer.counts(e).first()) == ("q", 4, 0, 3, 1, 2)
+    item = answer.literary(e).first()
+    assert item.line == "ஒரு மரம் நின்றது." and item.is_featured and item.can_expand and [(s.start, s.end) for s in item.spans] == [(4, 8)]
+    got = {r.query_id: r.answer for r in answer.answers(q, e, summary(e, q)).collect()}
+    assert '"unknown":true' in got["z"] and '"meaning":"wood; tree"' in got["q"] and '"sources":"definitions,corpus"' in got["q"]
+    t = spark.createDataFrame([("abcdef", [(4, 6), (0, 2), (1, 3)]), ("x", [])], "t string, s array<struct<start:int,end:int>>")
+    assert [[(r.text, r.marked) for r in x[0]] for x in t.select(answer.runs("t", "s")).collect()] == [[("ab", True), ("c", True), ("d", False), ("ef", True)], [("x", False)]]
