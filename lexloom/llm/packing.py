@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexloom.session import Cut, read
 
 CAPACITY = 4096
-SALTS = 64
+SALTS = 16
 
 
 def byte_tokens(text: Column | str) -> Column:
@@ -92,36 +92,38 @@ def _cut(capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["id"], pdf["text"]):
-                b, at, k = text.encode(), 0, 0
+            for i, h, text in zip(pdf["id"], pdf["h"], pdf["text"]):
+                b, at, own = text.encode(), 0, []
                 total = len(b) + 1  # the end token belongs to the last piece
                 while total - at > capacity:
                     end = at + capacity
                     while end < len(b) and b[end] & 0xC0 == 0x80:
                         end -= 1
-                    rows.append((i, k, at, end - at))
-                    at, k = end, k + 1
-                rows.append((i, k, at, total - at))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "size"])
+                    own.append((at, end - at))
+                    at = end
+                own.append((at, total - at))
+                rows += [(i, h, k, start, size, len(own)) for k, (start, size) in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["id", "h", "piece", "start", "size", "n_pieces"])
 
     return run
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:
-    """(id, piece, start, size, n_tokens): whole items, and the cut ones' pieces."""
-    x = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    x = x.withColumn("n_tokens", byte_tokens("text"))
+    """(id, h, piece, start, size, n_pieces): whole items, and the cut ones' pieces; ``h`` tells texts of one id apart.
+
+    Repeated rows are found by id and hash, so no text is shuffled.
+    """
+    x = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("n_tokens", byte_tokens("text")).withColumn("h", F.xxhash64("text"))
     kind = dict(x.dtypes)["id"]
-    whole = x.where(F.col("n_tokens") <= capacity).select("id", F.lit(0).alias("piece"), F.lit(0).alias("start"), F.col("n_tokens").alias("size"), F.lit(1).alias("n_pieces"))
-    w = Window.partitionBy("id")
-    parts = x.where(F.col("n_tokens") > capacity).select("id", "text").mapInPandas(_cut(capacity), f"id {kind}, piece int, start int, size int")
-    return whole.unionByName(parts.withColumn("n_pieces", (F.max("piece").over(w) + 1).cast("int")))
+    whole = x.where(F.col("n_tokens") <= capacity).select("id", "h", F.lit(0).alias("piece"), F.lit(0).alias("start"), F.col("n_tokens").alias("size"), F.lit(1).alias("n_pieces"))
+    parts = x.where(F.col("n_tokens") > capacity).select("id", "h", "text").mapInPandas(_cut(capacity), f"id {kind}, h long, piece int, start int, size int, n_pieces int")
+    return whole.unionByName(parts).distinct()
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, n_pieces, start, size, container) of every item or piece."""
     spark = df.sparkSession
-    x = pieces(df, id_col, text_col, capacity).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
+    x = pieces(df, id_col, text_col, capacity).withColumn("salt", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(SALTS)).cast("int"))
     t = Cut(x, "pieces").df
     by = t.groupBy("size", "salt").count()
     counts = {r["size"]: r["n"] for r in by.groupBy("size").agg(F.sum("count").alias("n")).collect()}
@@ -137,7 +139,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) ->
         first += times
     slots = spark.createDataFrame(rows, "size int, lo long, hi long, first long, per int") if rows else spark.createDataFrame([], "size int, lo long, hi long, first long, per int")
     offset = by.select("size", "salt", (F.sum("count").over(Window.partitionBy("size").orderBy("salt")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "h", "piece")) - 1
     ranked = t.withColumn("r", rank).join(F.broadcast(offset), ["size", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
     # at most capacity x SALTS offsets and capacity x (patterns of a size) slots: both bounded by parameters
     runs = slots.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "first", "per"))).alias("runs"))
