@@ -27,7 +27,9 @@ def session(app: str = "lexloom", master: str | None = None, **conf: str) -> Spa
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package, wherever the driver was started from."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 class Cut:
     """A table written to the shared folder; ``df`` reads it, ``drop`` removes it.
 
