@@ -300,7 +300,7 @@ def from_markdown(t: str, store: Store) -> str:
     t = re.sub(r"^ {0,3}(?:>[ \t]?)+(?=[ \t]*\S)", "", t, flags=re.M)
     t = re.sub(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", "", t, flags=re.M)
     t = re.sub(r"^([ \t]*)[*+\-][ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", r"\1• ", t, flags=re.M) if re.search(r"^(?:[ \t]*[*+\-][ \t]+[^\n]*(?:\n|$)){2,}|^ {0,3}[*+\-][ \t]+\[[ xX]\]", t, re.M) else t
-    t = re.sub(r"(?<![*\w\\])\*{1,3}(?=[^\s*])([^*\n]*?[^\s*]|[^\s*])\*{1,3}(?![*\w])", r"\1", t)
+    t = re.sub(r"(?<![*\w\\])\*{1,3}(?=[^\s*])([^*\n]*?[^\s*]|[^\s*])\*{1,4}(?![*\w])", r"\1", t)
     t = re.sub(r"(?<![_\w\\])_{1,3}(?=[^\s_])([^_\n]*?[^\s_]|[^\s_])_{1,3}(?![_\w])", r"\1", t)
     return re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", t)
 

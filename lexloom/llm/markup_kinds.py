@@ -18,11 +18,12 @@ TAG = re.compile(rf"<(/?)({_T})\b({_ATTR})\s*(/?)>", re.I)
 #: A tag that was cut off at the end, lost its bracket, or has an unclosed attribute.
 BROKEN = re.compile(rf"</{_T}\b[^<>\n]{{0,40}}(?=[<\n]|$)|<{_T}(?:\s+[\w:\-]+\s*=[^<>\n]{{0,200}}|\s*/?)(?=<|\n|$)|(?:^|(?<=[\s>]))/?{_T}\s+(?:href|src|class|style|align|border|color|size|width|height|name|id)=[\"']?[^<>\n\"']{{0,100}}[\"']?\s*/?>", re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!doctype\b[^>]*>|<!\[CDATA\[.*?(?:\]\]>|$)|<\?xml\b.*?\?>", re.I | re.S)
-ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
+#: References, also those that lost their semicolon and that parsers still read.
+ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|&(?:nbsp|amp|lt|gt|quot|copy|reg|shy|middot|laquo|raquo|deg|sect|para|[AEIOUaeiou](?:acute|grave|circ|uml))(?![A-Za-z0-9=])|&#(?:\d{2,6}|[xX][0-9a-fA-F]{2,5})(?![0-9A-Za-z])")
 MARKDOWN = re.compile(
     r"!?\[[^\[\]\n]*\]\((?:<[^<>\n]*>|[^()\s]+)(?:\s+[\"'][^\"'\n]*[\"'])?\)|!?\[[^\[\]\n]+\]\[[^\[\]\n]*\]|^ {0,3}\[[^\[\]\n]+\]:\s*\S+"
     r"|(?<![*\w\\])\*\*(?=[^\s*])[^\n]*?[^\s*]\*\*(?!\*)|(?<![_\w\\])__(?=[^\s_])[^\n]*?[^\s_]__(?![_\w])|(?<![*\w\\])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![*\w])|(?<![*\w\\])\*[^\s*]\*(?![*\w])|(?<![_\w\\])_(?=[^\s_])[^_\n]*[^\s_]_(?![_\w])"
-    r"|(?<![*\w\\])\*{3}(?=[^\s*])[^*\n]+?[^\s*]\*{3}(?!\*)|~~(?=\S)[^~\n]+~~|^ {0,3}(?:```|~~~)|`[^`\n]+`|^ {0,3}#{1,6}[ \t]+\S|^[^\n]+\n(?:={3,}|-{3,})[ \t]*$|^ {0,3}>[ \t]*\S|^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
+    r"|(?<![*\w\\])\*{3}(?=[^\s*])[^*\n]+?[^\s*]\*{3}(?!\*)|(?<![*\w\\])\*{1,3}(?=[^\s*])[^*\n]*[^\s*]\*{1,4}(?![*\w])|~~(?=\S)[^~\n]+~~|^ {0,3}(?:```|~~~)|`[^`\n]+`|^ {0,3}#{1,6}[ \t]+\S|^[^\n]+\n(?:={3,}|-{3,})[ \t]*$|^ {0,3}>[ \t]*\S|^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
     r"|^ {0,3}[*+\-][ \t]+\[[ xX]\][ \t]|^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$|^(?:[ \t]*[*+\-][ \t]+[^\n]*\S[^\n]*(?:\n|$)){2,}",
     re.M,
 )

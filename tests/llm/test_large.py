@@ -105,7 +105,7 @@ def test_greedy_search(spark):
 
 
 MARKED = {
-    "<p>a</p>": "html", "x<br": "html", "a</font></b": "html", "x<!-- c -->": "html", "a&#2965;b": "entity", "&lt;p&gt;x&lt;/p&gt;": "entity", "**b**": "markdown", "*a b*": "markdown", "_a_": "markdown", "`c`": "markdown", "```\nx\n```": "markdown", "# head": "markdown",
+    "<p>a</p>": "html", "x<br": "html", "a</font></b": "html", "x<!-- c -->": "html", "a&#2965;b": "entity", "&lt;p&gt;x&lt;/p&gt;": "entity", "a&nbsp": "entity", "see *comet** and solar": "markdown", "see **devotion*** and bell": "markdown", "**b**": "markdown", "*a b*": "markdown", "_a_": "markdown", "`c`": "markdown", "```\nx\n```": "markdown", "# head": "markdown",
     "Head\n====": "markdown", "> q": "markdown", "[t](https://x.example/a)": "markdown", "![a](/i.png)": "markdown", "- a\n- b": "markdown", "|a|b|\n|---|---|": "markdown", "~~x~~": "markdown", "== h ==": "wiki", "[[a|b]]": "wiki", "{{verse|a|no=1}}": "wiki", "'''b'''": "wiki", "{|\n|-\n| a\n|}": "wiki",
     ":: x": "wiki", "\\emph{a}": "latex", "\\begin{verse}\nx\n\\end{verse}": "latex", "{\\bf the} x": "latex", "$\\frac{1}{8}$": "latex", "a \\\\\nb": "latex", "\\section*{x}": "latex",
 }
