@@ -303,5 +303,12 @@ def p6_groups(spark, sf_dir: str) -> DataFrame:
     return x.select("chunk_id", F.coalesce("root", "set").alias("group_id"), F.col("set").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": r"""
+with w as (select chunk_id, unnest(regexp_extract_all(lower(normalized_text), '[\p{L}\p{M}\p{Nd}]+')) w from (select distinct chunk_id, normalized_text from chunks)),
+c as (select chunk_id, w, count(*) c from w group by all), n as (select chunk_id, sum(c) n from c group by 1 having sum(c) >= 12),
+j as (select a.chunk_id x, b.chunk_id y, sum(least(a.c, b.c)) s from c a join c b using (w) where a.chunk_id < b.chunk_id group by all)
+select x as chunk_a, y as chunk_b from j join n p on p.chunk_id = x join n q on q.chunk_id = y where 10 * s >= 6 * (p.n + q.n - s)
+"""
+}
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}

@@ -80,7 +80,7 @@ PLACEHOLDER = re.compile(
 #: Lines of programs that failed; the whole line is message.
 PROGRAM = re.compile(
     r"traceback \(most recent call last\)|^\s*file \"[^\"]*\", line \d+|\.php on line \d+|^(?:[a-z_]\w*\.)*[a-z]\w*(?:error|exception)(?:: |$)|<noscript\b|^\s*at [\w.$]+\([\w.]+:\d+\)|\bray(?: id)?:? [0-9a-f]{4,}"
-    r"|^http/\d(?:\.\d)? \d{3}|^(?:http )?(?:error )?[45]\d\d(?: error)?[.!]?$|^\W*(?:todo|fixme)\b *[:\-]|^(?:error )?[45]\d\d[ :\-–]+(?:not found|forbidden|unauthorized|bad request|gone|internal server error|bad gateway|service unavailable|gateway time-?out|too many requests)\.?$",
+    r"|^http/\d(?:\.\d)? \d{3}|^(?:http )?(?:error )?[45]\d\d(?: error)?[.!]?$|^\W*(?:todo|fixme)\b *[:\-]|^(?:undefined|null|nan|none)\b[^\n]{0,60}\b(?:undefined|null|nan|none)\W*$|^(?:error )?[45]\d\d[ :\-–]+(?:not found|forbidden|unauthorized|bad request|gone|internal server error|bad gateway|service unavailable|gateway time-?out|too many requests)\.?$",
     re.I | re.M,
 )
 #: A text without any of these has no placeholder and no program line.

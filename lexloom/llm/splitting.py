@@ -291,5 +291,14 @@ def p2_pieces(spark, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("chunk_id", n, "stanza_number", "line_range", first.alias("line_from"), last.alias("line_to"), "boundary", "piece_start", "new_start", "piece_end", "text")
 
 
-SQL: dict[str, str] = {}
+_LONGEST = "list_max(list_transform({0}, lambda x: length(regexp_replace(x, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'))))"
+SQL = {
+    # a CR LF becomes LF and a blank: as long, and one line end
+    "p2_found": f"""
+with t as (select distinct chunk_id, replace(original_text, chr(13) || chr(10), chr(10) || ' ') t from chunks),
+m as (select chunk_id, {_LONGEST.format('[t]')} a, {_LONGEST.format("regexp_split_to_array(t, '[\\r\\n](?:[ \\t]*[\\r\\n])+')")} b, {_LONGEST.format("regexp_split_to_array(t, '[\\r\\n]+')")} c,
+  {_LONGEST.format("regexp_split_to_array(regexp_replace(t, '([.?!])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), '[\\r\\n]+')")} d, {_LONGEST.format("regexp_split_to_array(t, '[ \\t\\r\\n]+')")} e from t)
+select chunk_id, case when b <= {LIMIT} then 'stanza' when c <= {LIMIT} then 'line' when d <= {LIMIT} then 'sentence' when e <= {LIMIT} then 'word' else 'none' end as boundary from m where a > {LIMIT}
+"""
+}
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
