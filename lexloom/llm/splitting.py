@@ -6,8 +6,9 @@ range in its own halo: the best boundary (stanza, line, sentence, word, else the
 bare offset) within the first ``limit`` units.  It finds the start of the next
 range by the same rule from the halo, so neighbouring workers agree without
 talking.  A boundary table with one row per range (start, code points, line
-ends) is stitched by prefix sums, and a second pass emits the pieces of every
-range by global offset.  No worker holds a whole file.
+ends, and the segments left open at both ends) is stitched by prefix, and a
+second pass emits the pieces of every range by global offset.  No worker holds a
+whole file.
 
 Inside a range the text is divided at stanzas; what is over the limit at lines;
 then at sentences, at words, and last at the bare limit.  Neighbouring segments
@@ -90,6 +91,63 @@ def coarsest(t: str, limit: int = LIMIT) -> str | None:
     return "none"
 
 
+def _ends(t: str) -> int:
+    return len(re.findall(r"\r\n|\r|\n", t))
+
+
+_RANGE = "first long, last long, lead int, trail int, feed boolean, ret boolean, stop boolean, head array<long>, tail array<long>, inner array<long>"
+
+
+def _open(t: str, at: int, limit: int) -> tuple:
+    """What a range's own text at offset ``at`` tells of the segments that run over its ends.
+
+    Offsets of its first and past its last sign, line ends before and after them,
+    whether it starts with LF and ends with CR, whether the last sign ends a
+    sentence; by kind the end of the first segment, the start of the last, and the
+    longest of the others (right as far as it is over the limit).
+    """
+    a, b = _trim(t, 0, len(t))
+    feed, ret = t[:1] == "\n", t[-1:] == "\r"
+    if b <= a:
+        return None, None, _ends(t), 0, feed, ret, False, [], [], []
+    head, tail, inner, spans = [], [], [], [(a, b)]
+    for cut in _CUTS:
+        new = []
+        for x, y in spans:
+            ends = [m.end() for m in cut.finditer(t, x, y)]
+            new += [_trim(t, p, q) for p, q in zip([x, *ends], [*ends, y])]
+        head.append(at + new[0][1])
+        tail.append(at + new[-1][0])
+        inner.append(max((q - p for p, q in new[1:-1]), default=0))
+        spans = [s for i, s in enumerate(new) if i in (0, len(new) - 1) or s[1] - s[0] > limit]
+    return at + a, at + b, _ends(t[:a]), _ends(t[b:]), feed, ret, t[b - 1] in ".?!", head, tail, inner
+
+
+def _stitch(ranges: list[tuple], limit: int) -> int:
+    """``coarsest`` of a whole text from its ranges in order, as an index of KINDS; -1 if the text fits."""
+    longest, start = [0] * 4, [0] * 4
+    begin = end = None
+    lines, ret, stop = 0, False, False  # of the blanks since the last sign, and the sign
+    for first, last, lead, trail, feed, cr, full, head, tail, inner in ranges:
+        lines += lead - (ret and feed)  # a CR LF across the ranges is one line end
+        if first is None:
+            ret = cr if lead or feed else False
+            continue
+        if end is None:
+            begin, start = first, [first] * 4
+        elif first > end:
+            kind = 0 if lines > 1 else 1 if lines else 2 if stop else 3
+            for k in range(kind, 4):
+                longest[k], start[k] = max(longest[k], end - start[k]), first
+        for k in range(4):
+            if tail[k] != first:
+                longest[k], start[k] = max(longest[k], head[k] - start[k], inner[k]), tail[k]
+        end, lines, ret, stop = last, trail, cr, full
+    if end is None or end - begin <= limit:
+        return -1
+    return next((k for k in range(4) if max(longest[k], end - start[k]) <= limit), 4)
+
+
 def cut_text(t: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
     """(start of the repeated text, start, end, kind of the boundary at the start) of every piece.
 
@@ -156,20 +214,25 @@ def _emit(r: DataFrame, carry: tuple[str, ...], limit: int, overlap: int, size:
         a = _start(t, limit) if at else 0
         return a, (size + _start(t[size:], limit) if at + size < chars else len(t))
 
-    def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, k, at, chars, t in zip(pdf["key"], pdf["range"], pdf["at"], pdf["chars"], pdf["t"]):
                 a, b = own(t, at, chars)
-                c = coarsest(t[a:b], limit)
-                rows.append((key, k, b - a, t.count("\n", a, b), KINDS.index(c) if c else -1))
-            yield pd.DataFrame(rows, columns=["key", "range", "n", "lines", "kind"])
+                rows.append((key, k, t.count("\n", a, b), *_open(t[a:b], at + a, limit)))
+            out = pd.DataFrame(rows, columns=["key", "range", "lines", *names])
+            yield out.astype({"first": "Int64", "last": "Int64"})
+
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:  # a row a range of one text
+        pdf = pdf.sort_values("range")
+        rows = [(None if pd.isna(x[0]) else int(x[0]), *x[1:]) for x in pdf[names].itertuples(index=False, name=None)]
+        return pd.DataFrame({"key": pdf["key"], "range": pdf["range"], "line0": pdf["lines"].cumsum() - pdf["lines"], "needs": _stitch(rows, limit)})
 
     one = r.where(F.col("chars") <= size).withColumns({"line0": F.lit(0).cast("long"), "needs": F.lit(None).cast("int")})
     long = r.where(F.col("chars") > size)
-    table = long.select("key", "range", "at", "chars", "t").mapInPandas(needs, "key long, range int, n long, lines long, kind int")
-    w = Window.partitionBy("key")
-    stitched = table.select("key", "range", (F.sum("lines").over(w.orderBy("range")) - F.col("lines")).alias("line0"), F.max("kind").over(w).alias("needs"))
+    names = [x.split()[0] for x in _RANGE.split(", ")]
+    table = long.select("key", "range", "at", "chars", "t").mapInPandas(measure, f"key long, range int, lines long, {_RANGE}")
+    stitched = table.groupBy("key").applyInPandas(stitch, "key long, range int, line0 long, needs int")
     r = one.unionByName(long.join(stitched, ["key", "range"]))
     kept = ["id", *[f"carry_{c}" for c in carry]]
 

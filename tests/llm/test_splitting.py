@@ -77,3 +77,14 @@ def test_files_by_byte_range(spark, tmp_path):
         assert x.piece_end <= y.new_start and y.text.endswith(b[y.new_start : y.piece_end].decode())
     assert all(r.char_start == len(b[: r.new_start].decode()) and r.first_line == 1 + b.count(b"\n", 0, r.new_start) for r in got)
     assert split_files(spark, []).count() == 0
+
+
+def test_needs_of_ranges_is_that_of_the_whole(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(["ab", "c" * rnd.randint(1, 12), " ", ". ", "\n", "\r\n", "\r", "\n\n", "\n \n", " " * 9, "\n" * rnd.randint(1, 60)][: rnd.choice([4, 5, 8, 11])]) for _ in range(rnd.randint(30, 150))) for _ in range(400)]
+    short = ("x" * 900 + "\n\n") * 72
+    texts.append(short[:65_000].rstrip("\n") + "\n\n" + "y" * 100 + "\n" + "z" * 1150 + "\n\n" + short[:6000])
+    for t, limit, size in [(texts[:-1], 20, 40), (texts[:-1], 12, 30), (texts[-1:], 1200, 65_536)]:
+        df = spark.createDataFrame(list(enumerate(t)), "id int, t string")
+        got = {(r.id, r.needs) for r in split(df, "id", "t", limit=limit, overlap=5, size=size, every=True).select("id", "needs").distinct().collect()}
+        assert got == {(i, coarsest(x, limit)) for i, x in enumerate(t) if x.strip(BLANK)}
