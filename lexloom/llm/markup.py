@@ -5,7 +5,8 @@ the text is found by composite text density: for every node the characters per
 tag, adjusted by how much of them are links; the densities of the children are
 summed, the node with the largest sum is the centre of the text, and nodes below
 the least density on its path to the body are left out.  Fragments, which hold
-no page around the text, are kept whole.
+no page around the text (no html, head or body, and no declaration of one), are
+kept whole, however many tags they have.
 
 The clean form keeps structure in plain signs: a heading is a paragraph of its
 own, a list item a line that starts with a bullet or its number, a code block is
@@ -210,9 +211,11 @@ def _render(root: Node, store: Store) -> str:
 
 
 _PAGE = re.compile(r"<(?:html|body|head)\b", re.I)
+_DECLARED = re.compile(r"\s*(?:<\?xml\b[^>]*>\s*)?<!doctype\s+html\b", re.I)
 
 
 def from_html(t: str, store: Store) -> str:
+    declared = _DECLARED.match(t)
     t = COMMENT.sub("", t)
     t = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", "", t, flags=re.I | re.S)
     if not TAG.search(t):
@@ -223,7 +226,7 @@ def from_html(t: str, store: Store) -> str:
     if rest:
         tree.at.kids.append(BROKEN.sub("", rest))
     root = tree.root
-    if _PAGE.search(t) or len(TAG.findall(t)) > 60:
+    if declared or _PAGE.search(t):
         body_text(root)
     return BROKEN.sub("", _render(root, store))
 

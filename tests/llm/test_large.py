@@ -138,6 +138,17 @@ def test_page_body():
     assert "genuine words" in out and "more of the passage" in out and "link 3" not in out
 
 
+def test_large_fragments_stay_whole():
+    part = "".join(f"<p>{'words of the unit ' * 5}{i}</p>" for i in range(30)) + "<p>a short one with <a href='/s'>a link</a></p>"
+    part += "<ul>" + "".join(f"<li><a href='/{i}'>word{i}</a></li>" for i in range(10)) + "</ul>"
+    assert len(markup.TAG.findall(part)) > 60
+    out = markup.clean(part)[1]
+    assert "a short one with a link" in out and "\n".join(f"• word{i}" for i in range(10)) in out and all(f"unit {i}\n" in out for i in range(30))
+    nav = "<div>" + "".join(f"<a href='{i}'>link {i}</a>" for i in range(40)) + "</div>"
+    out = markup.clean(f"<!DOCTYPE html>\n<title>t</title>{nav}<div><p>{'genuine words of the text ' * 20}</p></div>{nav}")[1]
+    assert "genuine words" in out and "link 3" not in out
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([("1", "<b>x</b>", "m"), ("2", None, "n"), ("2", None, "n")], "id string, t string, mk string")
     got = markup.clean_markup(df, "t").collect()
