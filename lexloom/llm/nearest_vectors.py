@@ -17,8 +17,8 @@ the smaller id.
 Defined results: vectors that are null, of another length, not finite or all
 zero, and ids that are null or not among the ids asked for, have no rows;
 repeated rows count once; of copies of one vector only the k + 1 smallest ids
-can be neighbours, all the same are given theirs; with fewer than k other
-vectors the lists are shorter; an empty table gives no rows.
+can be neighbours, the others share the list of the last of these; with fewer
+than k other vectors the lists are shorter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -176,14 +176,16 @@ def _leaf_graph(vectors: DataFrame, wanted: DataFrame, leaves: Leaves, dim: int)
             y = x.astype(np.float32)
             l1, l2 = ask["l1"].reindex(ids).to_numpy(np.int32), ask["l2"].reindex(ids).to_numpy(np.int32)
             own = np.nonzero(l1 == leaf)[0]
-            k = min(KEEP + 4, len(ids) - 1)
+            k = min(KEEP, len(ids) - 1)
+            slack = 1e-6 + 2 * (dim + 4) * 2.0**-24  # what rounding and single precision may hide
             for a in range(0, len(own) if k > 0 else 0, 1024):
                 q = own[a : a + 1024]
                 s = y[q] @ y.T
                 s[np.arange(len(q)), q] = -2
-                near = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(ids) - 1 else np.argsort(-s, axis=1)[:, :k], axis=1)
-                exact = np.round(np.stack([x[near[i]] @ x[q[i]] for i in range(len(q))]), 6)
-                for i, (c, e) in enumerate(zip(near, exact)):
+                near = s >= np.partition(s, len(ids) - k, axis=1)[:, [len(ids) - k]] - np.float32(slack)
+                for i in range(len(q)):
+                    c = np.nonzero(near[i])[0]
+                    e = np.round(x[c] @ x[q[i]], 6)
                     t = _top(ids[c], e, KEEP)
                     c, v = c[t], q[i]
                     for name, value in (("v", ids[v]), ("l1", l1[v]), ("l2", l2[v]), ("n", ids[c]), ("s", e[t]), ("n1", l1[c]), ("n2", l2[c])):
@@ -283,7 +285,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wa
     """(v, n, s, rank): the k most similar other vectors of every vector asked for."""
     bare = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
     ask = wanted.select(F.col(wanted_col).cast("long").alias("id")).where("id is not null").distinct()
-    # of copies of one vector the k + 1 smallest ids stand for all; the others have those as neighbours
+    # of copies of one vector the k + 1 smallest ids stand for all; what is best for the last of these is so for the others
     marks = bare.select("id", F.xxhash64("vec").alias("h"), F.xxhash64(F.reverse("vec")).alias("g")).distinct().join(ask, "id", "left_semi")
     rank = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
     first = Cut(marks.withColumn("r", rank).where(F.col("r") <= k + 1), "first").df
@@ -291,8 +293,13 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wa
     own = graph.select("v", F.posexplode(F.slice(F.arrays_zip("n", "s"), 1, k)).alias("p", "e")).select("v", "e.n", "e.s", (F.col("p") + 1).alias("rank"))
     first = first.join(graph.select(F.col("v").alias("id")), "id", "left_semi")  # invalid vectors have no list, their copies get none
     copies = marks.join(first.select("id"), "id", "left_anti")
-    theirs = copies.join(first.where(F.col("r") <= k).select("h", "g", F.col("id").alias("n"), F.col("r").alias("rank")), ["h", "g"])
-    return own.unionByName(theirs.select(F.col("id").alias("v"), "n", F.lit(1.0).alias("s"), "rank"))
+    last = first.where(F.col("r") == k + 1).select("h", "g", F.col("id").alias("v"))
+    tied = last.join(own, "v").select("h", "g", "n", "s")
+    held = last.select("h", "g").join(first.where(F.col("r") <= k), ["h", "g"]).select("h", "g", F.col("id").alias("n"), F.lit(1.0).alias("s"))
+    best = F.row_number().over(Window.partitionBy("h", "g").orderBy(F.desc("s"), "n"))
+    lists = tied.unionByName(held).groupBy("h", "g", "n").agg(F.max("s").alias("s")).withColumn("rank", best).where(F.col("rank") <= k)
+    theirs = copies.join(lists, ["h", "g"])
+    return own.unionByName(theirs.select(F.col("id").alias("v"), "n", "s", "rank"))
 
 
 def greedy_search(graph: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, k: int = 5, dim: int = 384, beam: int = 16, seeds: int = 512, steps: int = 12) -> DataFrame:

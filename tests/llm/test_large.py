@@ -89,6 +89,26 @@ def test_nearest(spark, monkeypatch):
     assert nearest_vectors.nearest(v.limit(0), "i", "v", ask, "i", 5, 16).count() == 0
 
 
+def test_ties_of_copies_and_scaled_vectors(spark):
+    rows = _vectors(n=120)
+    rng = np.random.default_rng(8)
+    scaled = lambda x, f: [float(y) for y in np.asarray(x, np.float32) * np.float32(f)]
+    rows += [(2000 + i, rows[5][1]) for i in range(15)] + [(1900, scaled(rows[5][1], 1.7)), (20_010, scaled(rows[5][1], 0.3))]
+    rows += [(3000 + int(i), scaled(rows[9][1], 0.2 + 0.07 * j)) for j, i in enumerate(rng.permutation(60))]
+    v = spark.createDataFrame(rows, "i long, v array<float>")
+    got: dict = {}
+    for r in nearest_vectors.nearest(v, "i", "v", v, "i", 5, 16).collect():
+        got.setdefault(r.v, []).append((r["rank"], r.n, r.s))
+    ok = dict(rows)
+    ids = sorted(ok)
+    m = np.stack([np.array(ok[i]) / np.linalg.norm(ok[i]) for i in ids])
+    s = np.round(m @ m.T, 6)
+    for a, i in enumerate(ids):
+        s[a, a] = -9
+        best = [(r + 1, ids[j], s[a, j]) for r, j in enumerate(np.lexsort((ids, -s[a]))[:5])]
+        assert sorted(got[i]) == best, i
+
+
 def test_greedy_search(spark):
     rows = _vectors(4)
     v = spark.createDataFrame(rows[:360], "i long, v array<float>")
