@@ -15,8 +15,16 @@ TAGS = (
 _T = "(?:" + "|".join(sorted(TAGS, key=len, reverse=True)) + ")"
 _ATTR = r"(?:\s+[\w:\-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>]+))?)*"
 TAG = re.compile(rf"<(/?)({_T})\b({_ATTR})\s*(/?)>", re.I)
-#: A tag that was cut off at the end, lost its bracket, or has an unclosed attribute.
-BROKEN = re.compile(rf"</{_T}\b[^<>\n]{{0,40}}(?=[<\n]|$)|<{_T}(?:\s+[\w:\-]+\s*=[^<>\n]{{0,200}}|\s*/?)(?=<|\n|$)|(?:^|(?<=[\s>]))/?{_T}\s+(?:href|src|class|style|align|border|color|size|width|height|name|id)=[\"']?[^<>\n\"']{{0,100}}[\"']?\s*/?>", re.I)
+_VALUE = r"(?:\"[^\"<>\n]*\"|'[^'<>\n]*'|[^\s\"'<>]+)"
+_NAMED = r"\s+(?:href|src|class|style|align|border|color|size|width|height|name|id)="
+#: A tag that was cut off at the end, lost its bracket, or has an unclosed attribute.  Where much text follows on its line, only
+#: what can be the tag's is taken: values in quotes or without blanks, and an open quote up to the line's end.
+BROKEN = re.compile(
+    rf"</{_T}\b[^<>\n]{{0,40}}(?=[<\n]|$)|<{_T}(?:\s+[\w:\-]+\s*=[^<>\n]{{0,200}}|\s*/?)(?=<|\n|$)|(?:^|(?<=[\s>]))/?{_T}{_NAMED}[\"']?[^<>\n\"']{{0,100}}[\"']?\s*/?>"
+    rf"|</{_T}\b(?![^<>\n]*>)|<{_T}(?=\s+[\w:\-]+\s*=)(?![^<>\n]*>)(?:\s+[\w:\-]+\s*=\s*{_VALUE})*(?:\s+[\w:\-]+\s*=\s*(?:\"[^\"<>\n]*|'[^'<>\n]*)(?=<|\n|$))?"
+    rf"|(?:^|(?<=[\s>]))/?{_T}{_NAMED}{_VALUE}(?:\s+[\w:\-]+\s*=\s*{_VALUE})*\s*/?>",
+    re.I,
+)
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!doctype\b[^>]*>|<!\[CDATA\[.*?(?:\]\]>|$)|<\?xml\b.*?\?>", re.I | re.S)
 #: References, also those that lost their semicolon and that parsers still read.
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|&(?:nbsp|amp|lt|gt|quot|copy|reg|shy|middot|laquo|raquo|deg|sect|para|[AEIOUaeiou](?:acute|grave|circ|uml))(?![A-Za-z0-9=])|&#(?:\d{2,6}|[xX][0-9a-fA-F]{2,5})(?![0-9A-Za-z])")
@@ -34,7 +42,7 @@ WIKI = re.compile(
 )
 LATEX = re.compile(
     r"\\(?:begin|end)\s*\{[^{}\n]*\}|\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{|\{\\[A-Za-z]+\b|\\[A-Za-z]{3,}\b|\\(?:item|par|noindent|newline|newpage|hline|centering|bf|it|em|sc|tt|rm|large|small|ldots|dots|quad|qquad|hfill|indent|maketitle|alpha|beta|gamma|frac|times|cdot|sqrt|sum|int|leq|geq|neq|infty|pm|to)\b"
-    r"|\\\\(?:\[[^\]\n]*\])?\s*$|\\[(\[][^\n]+?\\[)\]]|\$\$[^$]+\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,200}?[\\^_{=+][^$\n]{0,200}?(?<=[^\s$])\$(?![\w$])|\\[&%#_{}$](?=\W|\w)|``[^`'\n]+''|\\(?:,|;|!|-)(?=\s|\w)",
+    r"|\\\\(?:\[[^\]\n]*\])?\s*$|\\[(\[][^\n]+?\\[)\]]|\$\$[^$]+\$\$|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n\\^_{=+]*[\\^_{=+])[^$\n]+(?<=[^\s$])\$(?![\w$])|\\[&%#_{}$](?=\W|\w)|``[^`'\n]+''|\\(?:,|;|!|-)(?=\s|\w)",
     re.M,
 )
 HINT = re.compile(r"[<>&*_`#=|\[\]{}\\$~'\-+:;]")

@@ -140,6 +140,21 @@ def test_kinds():
         assert markup.clean(t) == ([], t)
 
 
+def test_long_broken_tags_and_formulas():
+    url, words = "https://x.example/" + "a" * 900, "genuine words of the line " * 12
+    for cut in (f"<a href={url}", f'<a href="{url}', f"<img src='data:{'b' * 400}'", f'<p style="{"color: red; " * 40}', f"<td width=1 class='{'c ' * 150}"):
+        t = f"{words}\nmore {cut}"
+        assert kinds(t) == ["html"] and markup.clean(t)[1] == f"{words.strip()}\nmore", cut
+    for cut in (f'a href="{url}">', f"img src={url} width=3 />"):
+        t = f"x {cut}{words}"
+        assert kinds(t) == ["html"] and markup.clean(t)[1] == f"x {words.strip()}", cut
+    for cut in ("<font color=red", "</font"):  # the text after a tag without its end is no part of it
+        t = f"{cut} {words}"
+        assert kinds(t) == ["html"] and markup.clean(t)[1].strip() == words.strip()
+    formula = " + ".join(f"x_{i}" for i in range(120))
+    assert kinds(f"see ${'y' * 250} = {formula}$ there") == ["latex"] and formula in markup.clean(f"see ${'y' * 250} = {formula}$ there")[1]
+
+
 def test_clean_keeps_structure():
     c = lambda t: markup.clean(t)[1]
     assert c("<h2>Head</h2><ul><li>a<li>b</ul><ol><li>x</li></ol><pre>q  = 1\n</pre>") == "Head\n\n• a\n• b\n\n1. x\n\n    q  = 1"
