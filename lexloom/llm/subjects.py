@@ -33,7 +33,6 @@ from lexloom.llm.leakage import RUN, Index, Words
 from lexloom.session import Cut, read, spread
 
 LABELLED = 20_000  #: most labelled documents the lexicon is learned from
-LEXICON = 50_000  #: most entries of the lexicon
 MIN_SHARE, MIN_GAIN = 0.6, 9.0  #: share of an entry's labelled documents with its subject; k ln(share / subject's share) at least
 SHARE = 0.25  #: of a document's sentences
 REST = "miscellany"
@@ -82,17 +81,16 @@ def learn(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[dict
     n = x.groupBy("f").agg(F.count("*").alias("n"), *[F.sum(F.array_contains("labels", s).cast("int")).alias(f"s{i}") for i, s in enumerate(subjects, 1)])
     top = F.greatest(*[F.col(f"s{i}") for i in range(1, len(subjects) + 1)], F.lit(0))
     total = held.agg(F.count("*").alias("n"), *[F.sum(F.array_contains("labels", s).cast("int")).alias(f"s{i}") for i, s in enumerate(subjects, 1)]).first()
-    kept = n.where((F.col("n") >= 3) & (top >= MIN_SHARE * F.col("n"))).orderBy(F.desc("n"), "f").limit(LEXICON).collect()
+    at_top = [(F.col(f"s{i}") == top, i) for i in range(1, len(subjects) + 1)]
+    best = F.coalesce(*[F.when(c, F.lit(i)) for c, i in at_top], F.lit(0))
+    share = F.coalesce(*[F.when(c, F.lit((total[f"s{i}"] or 0) / max(1, total["n"]))) for c, i in at_top], F.lit(0.0))
+    good = n.where((F.col("n") >= 3) & (top >= MIN_SHARE * F.col("n"))).where(top * F.log(top / F.col("n") / share) >= MIN_GAIN)
     words_of, starts = {}, {}
-    for r in kept:
-        best = max(range(1, len(subjects) + 1), key=lambda i: (r[f"s{i}"], -i))
-        k = r[f"s{best}"]
-        if k * np.log(k / r["n"] * total["n"] / total[f"s{best}"]) < MIN_GAIN:
-            continue
-        if r["f"][0] == "~":
-            starts[r["f"][1:]] = best
+    for f, s in good.select("f", best).collect():  # entries of at most LABELLED documents that say something
+        if f[0] == "~":
+            starts[f[1:]] = s
         else:
-            words_of[r["f"]] = best
+            words_of[f] = s
     return with_romanised(words_of), starts
 
 

@@ -227,6 +227,14 @@ def test_subjects(spark, corpus):
     assert subjects.assign_subjects(d.limit(0), lab, areas, items).count() == 0
 
 
+def test_frequent_useless_words_push_nothing_out(spark):
+    many = " ".join(f"u{i}x" for i in range(50_200))
+    docs = [(i, many if i < 10 else "plain", "s") for i in range(30)] + [(30 + i, "telling word", "s") for i in range(6)]
+    labels = [(i, "law" if i < 30 else "music") for i in range(36)]
+    words, _ = subjects.learn(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, subject string"), ["law", "music"])
+    assert words == {"telling": 2, "word": 2}
+
+
 def test_latent_model_trusts_the_better_function():
     p = {(1, 1, -1, -1, -1): 50, (2, 2, -1, -1, -1): 50, (0, 0, -1, -1, -1): 80, (1, 2, -1, -1, -1): 5, (0, 1, -1, -1, -1): 5}
     best = subjects.fit(p, 2)
