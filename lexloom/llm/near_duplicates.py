@@ -242,8 +242,10 @@ def similar_sets(sets: DataFrame, t: float, min_words: int) -> DataFrame:
     most = f"({na} + {nb}) * {c.numerator}"
     lower = f"({na} < {nb} or {na} = {nb} and (a < b or {na} = 4095 and a <> b))"
     near = f"({nb} = 4095 or ({most} >= bit_count(shiftrightunsigned(ma ^ mb, 12)) * {c.denominator} and {na} * {bands.t.denominator} >= {nb} * {bands.t.numerator}))"
-    half = "(size(wb) div 2)"  # the larger set's sketch may be one level wider: its halves are folded
-    folded = f"if(size(wb) > size(wa), zip_with(slice(wb, 1, {half}), slice(wb, {half} + 1, {half}), (x, y) -> x ^ y), wb)"
+    half = "(size(wb) div 2)"  # the larger set's sketch may be wider: its halves are folded, at more than one level all its parts
+    once = f"zip_with(slice(wb, 1, {half}), slice(wb, {half} + 1, {half}), (x, y) -> x ^ y)"
+    parts = "aggregate(sequence(1, size(wb) div size(wa) - 1), slice(wb, 1, size(wa)), (z, i) -> zip_with(z, slice(wb, i * size(wa) + 1, size(wa)), (x, y) -> x ^ y))"
+    folded = f"case when size(wb) > 2 * size(wa) then {parts} when size(wb) > size(wa) then {once} else wb end"
     differ = f"aggregate(zip_with(wa, {folded}, (x, y) -> bit_count(x ^ y)), 0, (z, x) -> z + x)"
     wide = f"case when wa is null or wb is null or {nb} = 4095 then true else {most} >= {differ} * {c.denominator} end"
     pairs = ix.join(pr, "key").where(f"{lower} and {near}").where(wide).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()

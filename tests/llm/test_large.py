@@ -49,6 +49,20 @@ def test_no_link_is_lost(spark, t):
     assert got == want
 
 
+def test_no_link_is_lost_between_sizes_far_apart(spark):
+    rnd = random.Random(4)
+    rows, want = [], set()
+    for i, (n, m) in enumerate([(80, 180), (80, 190), (40, 95), (100, 240), (200, 480), (60, 70), (31, 74)]):
+        words = [f"p{i}q{j}" for j in range(m)]
+        rows.append((f"a{i}", " ".join(words[:n])))
+        rnd.shuffle(words)
+        rows.append((f"b{i}", " ".join(words)))
+        want.add((f"a{i}", f"b{i}"))
+    members, links = near_duplicates.near_duplicates(spark.createDataFrame(rows, "rid string, m string"), "rid", "m", 0.4, 12)
+    names = {r.set: r.rid for r in members.collect()}
+    assert {tuple(sorted((names[r.a], names[r.b]))) for r in links.collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in near_duplicates.components(links).collect()}
