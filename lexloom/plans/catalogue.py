@@ -214,6 +214,36 @@ def highlight_spans(spark, d):
     return x.select("item_id", F.explode(highlight_offsets("line", "keys")).alias("s")).select("item_id", "s.start", "s.end")
 
 
+_VERSE_LINES = f"""(select verse_id, token, keys, coalesce(list_filter(parts, lambda x: len(list_filter(keys, lambda k: contains(lower(x), lower(k)))) > 0)[1], parts[1]) line
+  from (select verse_id, token, [token] keys, {_PARTS} parts from (select distinct verse_id, classical_tamil passage from verses where classical_tamil is not null)
+    join (select distinct verse_id, token from verse_tokens where token <> '') using (verse_id)))"""
+_OF_VERSES = lambda q: _S[q].replace(_LINES, _VERSE_LINES).replace("item_id", "verse_id, token")
+
+
+def _verse_lines(spark, d) -> DataFrame:
+    v = read(spark, d, "verses").select("verse_id", F.col("classical_tamil").alias("passage")).where("passage is not null").distinct()
+    t = read(spark, d, "verse_tokens").select("verse_id", "token").where("token <> ''").distinct()
+    return v.join(t, "verse_id").withColumn("keys", F.array("token")).withColumn("line", T.relevant_line("passage", F.col("keys")))
+
+
+@query(_OF_VERSES("relevant_line"))
+def relevant_line_verses(spark, d):
+    """The line of every verse for each of its words."""
+    return _verse_lines(spark, d).select("verse_id", "token", "line")
+
+
+@query(_OF_VERSES("context_window"))
+def context_window_verses(spark, d):
+    return _verse_lines(spark, d).select("verse_id", "token", T.context_window("line", F.col("keys")).alias("shown"))
+
+
+@query()
+def highlight_spans_verses(spark, d):
+    """Spans of every word of a verse in its line."""
+    x = _verse_lines(spark, d)
+    return x.select("verse_id", "token", F.explode(highlight_offsets("line", "keys")).alias("s")).select("verse_id", "token", "s.start", "s.end")
+
+
 _SEL = "string_split(query, ' ')[1]"
 _SENT = "regexp_extract_all(passage, '[^.?!]+[.?!]*')"
 

@@ -129,3 +129,16 @@ def test_answers(spark):
     assert '"unknown":true' in got["z"] and '"meaning":"wood; tree"' in got["q"] and '"sources":"definitions,corpus"' in got["q"]
     t = spark.createDataFrame([("abcdef", [(4, 6), (0, 2), (1, 3)]), ("x", [])], "t string, s array<struct<start:int,end:int>>")
     assert [[(r.text, r.marked) for r in x[0]] for x in t.select(answer.runs("t", "s")).collect()] == [[("ab", True), ("c", True), ("d", False), ("ef", True)], [("x", False)]]
+
+
+def test_lines_of_verses(spark, tmp_path):
+    from lexloom.plans import catalogue
+
+    long = "a " * 70 + "key" + " b" * 70
+    spark.createDataFrame([("v1", "one. two key\nthree"), ("v1", "one. two key\nthree"), ("v2", long), ("v3", None)], "verse_id string, classical_tamil string").write.parquet(str(tmp_path / "verses.parquet"))
+    words = [("v1", "three"), ("v1", "three"), ("v1", "KEY"), ("v1", "no"), ("v1", None), ("v2", "key"), ("v3", "x")]
+    spark.createDataFrame(words, "verse_id string, token string").write.parquet(str(tmp_path / "verse_tokens.parquet"))
+    got = {q: sorted(map(tuple, catalogue.queries()[q](spark, str(tmp_path)).collect())) for q in ("relevant_line_verses", "context_window_verses", "highlight_spans_verses")}
+    assert got["relevant_line_verses"] == [("v1", "KEY", "two key"), ("v1", "no", "one."), ("v1", "three", "three"), ("v2", "key", long)]
+    assert [x for x in got["context_window_verses"] if x[0] == "v2"] == [("v2", "key", "... " + "a " * 20 + "key" + " b" * 30 + " ...")]
+    assert got["highlight_spans_verses"] == [("v1", "KEY", 4, 7), ("v1", "three", 0, 5), ("v2", "key", 140, 143)]
