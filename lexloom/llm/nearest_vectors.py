@@ -1,18 +1,19 @@
 """Problem 4: the k most similar vectors of every vector, by NN-descent.
 
-The graph starts from neighbourhoods: anchors are fitted to a bounded sample,
-every vector belongs to the leaf of its nearest anchor and visits that of the
-second; leaves that are too large get anchors of their own, and what cannot be
-parted is spread by hash.  Inside a leaf every member is compared with all that
-belong or visit.  NN-descent then improves the graph across leaves: neighbours
-of neighbours and reverse neighbours, found by joins of the neighbour lists, are
-compared if they have not met before, until a round brings nothing.  Vectors
-travel once to their leaves, later only those of pairs that must be compared,
-each once a leaf; a fixed-size filter of the needed ids keeps the others at home.
-New queries walk the finished graph greedily from their leaf.
-
-Similarity is the cosine in double precision rounded to 6 decimals, ties go to
-the smaller id.
+Anchors fitted to a bounded sample part the vectors into cells; a cell over its
+limit is parted further by hash.  The graph starts at random: every vector gets
+some members of its own cell, compared with nothing.  Rounds of joins improve
+it: the lists, with a bounded sample of reverse neighbours, are joined with the
+lists of their members, and what that reaches is compared; only paths with a
+new edge count.  After the first rounds every vector also searches the graph of
+its second cell greedily, which gives the lists their first edges between
+cells; the rounds then go on across cells until few edges change.
+
+Rounds compare eight-bit codes of the vectors, a quarter of their size.  A code
+or a list goes once to each cell that needs it, so a task holds its cell and
+what two edges reach from it.  The best of every list are compared exactly, in
+double precision rounded to 6 decimals, ties to the smaller id.  New vectors
+search the finished graph greedily, from members of their cells.
 
 Defined results: vectors that are null, of another length, not finite or all
 zero, and ids that are null or not among the ids asked for, have no rows;
@@ -23,7 +24,7 @@ than k other vectors the lists are shorter; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,14 @@ from lexloom.session import Cut, read
 
 SAMPLE = 8192  #: vectors the anchors are fitted to
 ANCHORS = 8192  #: most anchors
-LEAF, CAP = 600, 4000  #: vectors a leaf is meant to have, and may have
-KEEP = 12  #: neighbours in the graph while it is built
-ROUNDS = 4
-BLOOM = 1 << 23
+CELL, PART = 600, 1500  #: vectors a cell is meant to have, and may have before it is parted by hash
+START, SEEDS = 12, 64  #: random neighbours at first, and nodes a walk begins at
+KEEP, REVERSE = 12, 8  #: neighbours in a list, and the most reverse neighbours joined with it
+EXACT = 10  #: neighbours of a list that are compared exactly
+ROUNDS, VISIT = 6, 2  #: most rounds, and after how many the second cells are searched
+ENOUGH = 0.005  #: the rounds end when fewer of the edges are new
+BITS = 1 << 27  #: most bits of the filter of needed ids
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,216 +85,403 @@ def _two(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, second
 
 
-def _salt(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _salt(ids: np.ndarray, parts: np.ndarray, table: int = 0) -> np.ndarray:
+    h = (ids.astype(np.uint64) + np.uint64(table * 7919)) * _MIX
     return ((h >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
 
 
 class Leaves:
-    """Anchors, and the number of hash parts of leaves that anchors cannot part."""
+    """Anchors, and the number of hash parts of cells that anchors cannot part."""
 
     def __init__(self, anchors: np.ndarray, parts: np.ndarray):
         self.anchors, self.parts = anchors.astype(np.float32), parts
         self.start = np.concatenate([[0], np.cumsum(parts)[:-1]])
 
     def __call__(self, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of every row and the cell it visits, as numbers of hash parts."""
         a, b = _two(x.astype(np.float32), self.anchors)
         return self.start[a] + _salt(ids, self.parts[a]), self.start[b] + _salt(ids, self.parts[b])
 
+    def again(self, home: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The parts of the same cells under another hash, so that random edges lead from part to part."""
+        a = np.searchsorted(self.start, home, side="right") - 1
+        return self.start[a] + _salt(ids, self.parts[a], 1)
 
-def _assign(vectors: DataFrame, leaves, dim: int) -> DataFrame:
+
+def _code(x: np.ndarray) -> np.ndarray:
+    """Eight-bit codes of unit rows, each scaled by its largest value."""
+    return np.round(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    at = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize if rows.ndim == 2 else 0)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _place(vectors: DataFrame, leaves: Leaves, dim: int, code: bool = True) -> DataFrame:
+    """(id, home, visit, code) of the valid vectors; without ``code`` the vector itself."""
     shared = vectors.sparkSession.sparkContext.broadcast(leaves)  # at most ANCHORS x dim floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             x, rows = _matrix(rb.column("vec"), dim)
+            if not len(rows):
+                continue
             ids = rb.column("id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-            a, b = shared.value(x, ids) if len(ids) else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["id", "l1", "l2"])
+            a, b = shared.value(x, ids)
+            last = _binary(_code(x)) if code else rb.column("vec").take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), last], names=["id", "home", "visit", "x"])
 
-    return vectors.mapInArrow(run, "id long, l1 int, l2 int")
+    return vectors.mapInArrow(run, "id long, home int, visit int, x " + ("binary" if code else "array<float>"))
 
 
 def plant(vectors: DataFrame, dim: int) -> Leaves:
-    """Anchors for all vectors: fitted to a sample, with more where leaves come out too large."""
+    """Anchors for all vectors: fitted to a sample, with more where cells come out too large."""
     n = vectors.count()
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
     got = vectors.where(part).limit(2 * SAMPLE).toArrow()
     x = _matrix(got.column("vec"), dim)[0] if got.num_rows else np.zeros((0, dim))
     if not len(x):
         return Leaves(np.zeros((1, dim)), np.ones(1, np.int64))
-    anchors = _fit(x, max(1, min(ANCHORS // 2, len(x) // 8, -(-n // LEAF))))
+    anchors = _fit(x, max(1, min(ANCHORS // 2, len(x) // 8, -(-n // CELL))))
     sizes = np.zeros(0)
     for level in range(3):
-        by = _assign(vectors, Leaves(anchors, np.ones(len(anchors), np.int64)), dim).groupBy("l1").count()
+        by = _place(vectors, Leaves(anchors, np.ones(len(anchors), np.int64)), dim).groupBy("home").count()
         sizes = np.zeros(len(anchors))
         for r in by.collect():  # at most one row an anchor
-            sizes[r["l1"]] = r["count"]
-        large = np.nonzero(sizes > CAP)[0]
+            sizes[r["home"]] = r["count"]
+        large = np.nonzero(sizes > PART)[0]
         if not len(large) or len(anchors) >= ANCHORS or level == 2:
             break
         a, new = _two(x, anchors)[0], [anchors[np.setdiff1d(np.arange(len(anchors)), large)]]
         for j in large:
             own = x[a == j]
-            new.append(_fit(own, max(1, min(len(own) // 4, int(sizes[j] // LEAF) + 1))) if len(own) > 8 else anchors[[j]])
+            new.append(_fit(own, max(1, min(len(own) // 4, int(sizes[j] // CELL) + 1))) if len(own) > 8 else anchors[[j]])
         anchors = np.concatenate(new)[:ANCHORS]
-    return Leaves(anchors, np.maximum(1, -(-sizes // CAP)).astype(np.int64))
+    return Leaves(anchors, np.maximum(1, -(-sizes // PART)).astype(np.int64))
+
+
+# ---- what a cell's task does ----------------------------------------------
+
+#: A cell's rows: lists to improve (``own``, null if none; an empty one starts at random), lists to follow (``adj``), codes.
+_ROW = "cell int, id long, home int, own array<long>, new array<boolean>, adj array<long>, adj_home array<int>, adj_new array<boolean>, x binary"
+_LIST = "v long, home int, n array<long>, nh array<int>, s array<float>, f array<boolean>"
+
+
+def _flat(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a list column."""
+    a = col.combine_chunks()
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) and a.num_chunks else a
+    at = a.offsets.to_numpy()
+    return np.diff(at), a.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+
+
+class Cell:
+    """The codes and lists that met in one task."""
+
+    def __init__(self, t: pa.Table, dim: int):
+        code = t.filter(t.column("x").is_valid())
+        ids, first = np.unique(code.column("id").to_numpy().astype(np.int64), return_index=True)
+        raw = b"".join(code.column("x").take(pa.array(first)).to_pylist())
+        self.ids, m = ids, np.frombuffer(raw, np.int8).reshape(-1, dim).astype(np.float32)
+        self.m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+        adj = t.filter(t.column("adj").is_valid())
+        owner, first = np.unique(adj.column("id").to_numpy().astype(np.int64), return_index=True)
+        adj = adj.take(pa.array(first))
+        self.owner, self.owner_home = owner, adj.column("home").to_numpy()
+        self.n, to = _flat(adj.column("adj"))
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.to, self.new = self.where(to), _flat(adj.column("adj_new"))[1].astype(bool)
+        known, first = np.unique(np.concatenate([owner, to]), return_index=True)
+        home = np.concatenate([self.owner_home, _flat(adj.column("adj_home"))[1]])[first]
+        self.home = np.zeros(len(ids), np.int32)
+        hit = self.where(known)
+        self.home[hit[hit >= 0]] = home[hit >= 0]
+
+    def where(self, ids: np.ndarray) -> np.ndarray:
+        """Positions among the codes; -1 where there is none."""
+        if not len(self.ids):
+            return np.full(len(ids), -1)
+        p = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[p] == ids, p, -1)
+
+    def follow(self, row: np.ndarray, pos: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, position) of the members of the lists of ``pos``, on paths with a new edge."""
+        if not len(self.owner) or not len(pos):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q = np.minimum(np.searchsorted(self.owner, self.ids[pos]), len(self.owner) - 1)
+        ok = self.owner[q] == self.ids[pos]
+        row, q, new = row[ok], q[ok], new[ok]
+        n = self.n[q]
+        j = np.repeat(self.at[q] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        keep = (np.repeat(new, n) | self.new[j]) & (self.to[j] >= 0)
+        return np.repeat(row, n)[keep], self.to[j][keep]
+
+    def best(self, v: np.ndarray, row: np.ndarray, pos: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``keep`` best of each row's candidates, as positions (-1: none) and similarities; ties of 4 decimals to the smaller id."""
+        met, at = np.unique(pos, return_inverse=True)
+        if not len(met):
+            return np.full((len(v), 0), -1), np.zeros((len(v), 0))
+        allowed = np.zeros((len(v), len(met)), bool)
+        allowed[row, at] = True
+        allowed &= met[None, :] != v[:, None]
+        s = np.round((self.m[v] @ self.m[met].T).astype(np.float64) * 1e4)
+        order = np.where(allowed, s * (1 << 24) - np.arange(len(met)), -1e18)
+        k = min(keep, len(met))
+        top = np.argpartition(-order, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(order, top, 1), axis=1), 1)
+        good = np.take_along_axis(allowed, top, 1)
+        return np.where(good, met[top], -1), np.take_along_axis(s, top, 1) / 1e4
+
+
+def _improve(dim: int, keep: int, walk: int) -> Callable[[pa.Table], pa.Table]:
+    """A cell's lists after one round; rows that start at random walk ``walk`` steps here, where all the lists of their cell are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c = Cell(t, dim)
+        own = t.filter(t.column("own").is_valid())
+        ids = own.column("id").to_numpy().astype(np.int64)
+        v, homes = c.where(ids), own.column("home").to_numpy()
+        size, flat = _flat(own.column("own"))
+        new = _flat(own.column("new"))[1].astype(bool)
+        at = np.concatenate([[0], np.cumsum(size)])
+        cell = t.column("cell")[0].as_py()
+        here = c.where(c.owner[c.owner_home == cell])
+        here = here[here >= 0]
+        rng = np.random.default_rng(cell)
+        out: dict[str, list] = {x: [] for x in ("v", "home", "n", "nh", "s", "f")}
+        todo = np.nonzero(v >= 0)[0]
+        for b in range(0, len(todo), 128):
+            rows = todo[b : b + 128]
+            who = np.repeat(np.arange(len(rows)), size[rows])
+            held = c.where(np.concatenate([flat[at[r] : at[r + 1]] for r in rows]) if len(rows) else np.zeros(0, np.int64))
+            fresh = np.concatenate([new[at[r] : at[r + 1]] for r in rows])
+            who, fresh, held = who[held >= 0], fresh[held >= 0], held[held >= 0]
+            before = np.zeros((len(rows), len(c.ids)), bool)
+            before[who, held] = True
+            lost = np.nonzero(size[rows] == 0)[0]
+            if walk and len(lost) and len(here):
+                top, _ = c.best(v[rows], np.repeat(lost, SEEDS), rng.choice(here, len(lost) * SEEDS), keep)
+                i, j = np.nonzero(top >= 0)
+                who, held, fresh = np.concatenate([who, i]), np.concatenate([held, top[i, j]]), np.concatenate([fresh, np.ones(len(i), bool)])
+            for _ in range(max(1, walk)):
+                r, p = c.follow(who, held, fresh)
+                top, sim = c.best(v[rows], np.concatenate([who, r]), np.concatenate([held, p]), keep)
+                was = np.zeros((len(rows), len(c.ids)), bool)
+                was[who, held] = True
+                who, j = np.nonzero(top >= 0)
+                held = top[who, j]
+                fresh = ~was[who, held]
+                if not fresh.any():
+                    break
+            for i, r in enumerate(rows):
+                g = top[i][top[i] >= 0]
+                out["v"].append(ids[r])
+                out["home"].append(homes[r])
+                out["n"].append(c.ids[g])
+                out["nh"].append(c.home[g])
+                out["s"].append(sim[i][top[i] >= 0].astype(np.float32))
+                out["f"].append(~before[i, g])
+        kinds = {"v": pa.int64(), "home": pa.int32(), "n": pa.list_(pa.int64()), "nh": pa.list_(pa.int32()), "s": pa.list_(pa.float32()), "f": pa.list_(pa.bool_())}
+        return pa.table({k: pa.array(x, kinds[k]) for k, x in out.items()})
+
+    return run
+
+
+# ---- rounds ---------------------------------------------------------------
+
+
+def _null(kind: str, name: str):
+    return F.lit(None).cast(kind).alias(name)
+
+
+def _own(df: DataFrame, cell: str, n, f) -> DataFrame:
+    """Rows of lists to improve."""
+    return df.select(F.col(cell).alias("cell"), F.col("v").alias("id"), "home", n.cast("array<long>").alias("own"), f.cast("array<boolean>").alias("new"), _null("array<long>", "adj"), _null("array<int>", "adj_home"), _null("array<boolean>", "adj_new"), _null("binary", "x"))
+
+
+def _adj(df: DataFrame, cell: str) -> DataFrame:
+    """Rows of lists to follow."""
+    return df.select(F.col(cell).alias("cell"), F.col("v").alias("id"), "home", _null("array<long>", "own"), _null("array<boolean>", "new"), "adj", "adj_home", "adj_new", _null("binary", "x"))
+
+
+def _codes(df: DataFrame, cell: str) -> DataFrame:
+    return df.select(F.col(cell).alias("cell"), "id", "home", _null("array<long>", "own"), _null("array<boolean>", "new"), _null("array<long>", "adj"), _null("array<int>", "adj_home"), _null("array<boolean>", "adj_new"), "x")
+
+
+def _start(spots: DataFrame, leaves: Leaves) -> DataFrame:
+    """Lists of random members of the own cell; where a cell has parts, half of them from its parts under another hash."""
+    shared = spots.sparkSession.sparkContext.broadcast(leaves)
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = pdf.assign(g=pdf["home"], t=0)
+            other = pdf.assign(g=shared.value.again(pdf["home"].to_numpy(), pdf["id"].to_numpy()), t=1)
+            yield pd.concat([own, other])
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        rng = np.random.default_rng(int(pdf["g"].iloc[0]) * 2 + int(pdf["t"].iloc[0]))
+        j = rng.integers(0, max(n - 1, 1), (n, START // 2 if n > 1 else 0))
+        j += j >= np.arange(n)[:, None]
+        ids, home = pdf["id"].to_numpy(), pdf["home"].to_numpy()
+        return pd.DataFrame({"v": ids, "home": home, "n": list(ids[j]), "nh": list(home[j])})
+
+    x = spots.select("id", "home").mapInPandas(tables, "id long, home int, g int, t int").groupBy("g", "t").applyInPandas(pick, "v long, home int, n array<long>, nh array<int>")
+    x = x.groupBy("v", "home").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("n", "nh")))).alias("e"))  # two rows a vector
+    return x.select("v", "home", "e.n", "e.nh", F.transform("e", lambda z: F.lit(-2.0).cast("float")).alias("s"), F.transform("e", lambda z: F.lit(True)).alias("f"))
+
+
+def _links(lists: DataFrame) -> DataFrame:
+    """(v, home, adj, adj_home, adj_new): every list with at most REVERSE of the vectors that name its owner."""
+    e = lists.select("v", "home", F.explode(F.arrays_zip("n", "nh", "f")).alias("e")).select(F.col("e.n").alias("u"), F.col("v").alias("m"), F.col("home").alias("mh"), F.col("e.f").alias("mf"))
+    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "m"), "m")  # a hub's row limit is kept before the shuffle
+    back = e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= REVERSE).groupBy("u").agg(F.collect_list(F.struct("m", "mh", "mf")).alias("b"))
+    both = F.concat(F.transform(F.arrays_zip("n", "nh", "f"), lambda z: F.struct(z["n"].alias("m"), z["nh"].alias("mh"), z["f"].alias("mf"))), F.coalesce("b", F.array()))
+    x = lists.join(back, F.col("v") == F.col("u"), "left").select("v", "home", both.alias("b"))
+    return x.select("v", "home", F.col("b.m").alias("adj"), F.col("b.mh").alias("adj_home"), F.col("b.mf").alias("adj_new"))
+
+
+def _round(lists: DataFrame, links: DataFrame, codes: DataFrame, own_codes: DataFrame, dim: int, keep: int = KEEP) -> DataFrame:
+    """Lists joined with the lists of their members; codes and lists from other cells go once to each cell that needs them."""
+    here = lists.select("home", F.explode(F.arrays_zip("n", "nh", "f")).alias("e")).select("home", "e.*")
+    back = links.select("home", F.explode(F.arrays_zip("adj", "adj_home", "adj_new")).alias("e")).select("home", F.col("e.adj").alias("n"), F.col("e.adj_home").alias("nh"), F.col("e.adj_new").alias("f"))
+    near = Cut(here.unionByName(back).where("nh <> home").groupBy("home", "n").agg(F.max("f").alias("f")), "near")
+    rows = [_own(lists, "home", F.col("n"), F.col("f")), _adj(links, "home"), _codes(own_codes, "home")]
+    drops = [near]
+    if near.df.limit(1).count():
+        far = near.df.withColumnRenamed("home", "cell").join(links, F.col("n") == F.col("v"))
+        two = far.select("cell", "f", F.explode(F.arrays_zip("adj", "adj_home", "adj_new")).alias("e")).where("e.adj_home <> cell and (f or e.adj_new)").select("cell", F.col("e.adj").alias("id"))
+        need = near.df.select(F.col("home").alias("cell"), F.col("n").alias("id")).unionByName(two).distinct()
+        rows += [_adj(far, "cell"), _codes(need.join(codes, "id"), "cell")]
+    x = rows[0]
+    for y in rows[1:]:
+        x = x.unionByName(y)
+    out = Cut(x.groupBy("cell").applyInArrow(_improve(dim, keep, 0), _LIST), "lists")
+    for y in drops:
+        y.drop()
+    return out
+
+
+def _visits(who: DataFrame, links: DataFrame, codes: DataFrame, own_codes: DataFrame, dim: int, keep: int = KEEP) -> DataFrame:
+    """(v, home, n, nh, s, f) found by a greedy walk of (v, home, visit) in the graph of the cell visited."""
+    x = _own(who, "visit", F.array(), F.array()).unionByName(_adj(links, "home")).unionByName(_codes(codes, "home")).unionByName(_codes(own_codes, "visit"))
+    return x.groupBy("cell").applyInArrow(_improve(dim, keep, 4), _LIST)
+
+
+def _merge(lists: DataFrame, found: DataFrame, keep: int = KEEP) -> DataFrame:
+    """Lists with what was found besides, the ``keep`` best."""
+    e = F.transform(F.arrays_zip("n", "nh", "s", "f"), lambda z: F.struct((-z["s"]).alias("d"), z["n"].alias("n"), z["nh"].alias("nh"), z["f"].alias("f")))
+    have = F.transform(F.col("n"), lambda z: z)
+    more = found.select("v", e.alias("y"))
+    x = lists.withColumn("x", e).withColumn("have", have).join(more, "v", "left")
+    add = F.filter(F.coalesce("y", F.array()), lambda z: ~F.array_contains("have", z["n"]))
+    x = x.select("v", "home", F.slice(F.array_sort(F.concat("x", add)), 1, keep).alias("x"))
+    return x.select("v", "home", "x.n", "x.nh", F.transform("x.d", lambda d: -d).alias("s"), "x.f")
+
+
+def _needed(ids: DataFrame) -> np.ndarray:
+    """A filter of ids, in words of 64 bits: sized by their number up to BITS, put together by all tasks."""
+    bits = min(BITS, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64(id), {bits}), 64)))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BITS / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _exact(vectors: DataFrame, lists: DataFrame, leaves: Leaves, dim: int, own: DataFrame | None = None, keep: int = KEEP) -> DataFrame:
+    """(v, n, s) lists with exact cosines, best first; ``own`` has the vectors of lists that are not of ``vectors``."""
+    x = lists.select("v", "home", F.slice("n", 1, EXACT).alias("n"), F.slice("nh", 1, EXACT).alias("nh"))
+    need = x.select("home", F.explode(F.arrays_zip("n", "nh")).alias("e")).where("e.nh <> home" if own is None else "true").select(F.col("home").alias("cell"), F.col("e.n").alias("id")).distinct()
+    need = Cut(need, "need")
+    placed = _place(vectors, leaves, dim, code=False).select("id", F.col("home").alias("cell"), F.col("x").alias("vec"))
+    if own is not None:
+        placed = _place(own, leaves, dim, code=False).select("id", F.col("home").alias("cell"), F.col("x").alias("vec"))
+    words = vectors.sparkSession.sparkContext.broadcast(_needed(need.df.select("id").distinct()))
+    size = len(words.value) * 64
+    marked = vectors.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(size)))
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = words.value
+        for rb in batches:
+            slot = rb.column("slot").to_numpy()
+            on = (w[slot >> 6] >> (slot & 63)) & 1
+            yield rb.filter(pa.array(on.astype(bool))).select(["id", "vec"])
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of a row: highest rounded cosine, then smallest id."""
-    return np.lexsort((ids, -sims))[:k]
+    far = need.df.join(marked.select("id", "vec", "slot").mapInArrow(some, "id long, vec array<float>"), "id").select("id", "cell", "vec")
+    rows = placed.unionByName(far)
 
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("id").to_numpy().astype(np.int64)
+        ids, first = np.unique(ids, return_index=True)
+        m = _matrix(right.column("vec").take(pa.array(first)), dim)[0] if len(ids) else np.zeros((0, dim))
+        v = left.column("v").to_numpy().astype(np.int64)
+        size, flat = _flat(left.column("n"))
+        row = np.repeat(np.arange(len(v)), size)
+        p, q = (np.minimum(np.searchsorted(ids, z), max(len(ids) - 1, 0)) for z in (v[row], flat))
+        ok = (ids[p] == v[row]) & (ids[q] == flat) if len(ids) else np.zeros(len(row), bool)
+        row, p, q, flat = row[ok], p[ok], q[ok], flat[ok]
+        s = np.concatenate([(m[p[i : i + 4096]] * m[q[i : i + 4096]]).sum(1) for i in range(0, len(p), 4096)]) if len(p) else np.zeros(0)
+        s = np.round(s, 6)
+        order = np.lexsort((flat, -s, row))
+        at = np.searchsorted(row[order], np.arange(len(v) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(z[order])) for z in (flat, s)]
+        return pa.table({"v": pa.array(v), "n": lists[0], "s": lists[1]})
 
-_LIST = "v long, l1 int, l2 int, n array<long>, s array<double>, n1 array<int>, n2 array<int>"
+    return x.select("home", "v", "n").groupBy("home").cogroup(rows.groupBy("cell")).applyInArrow(score, "v long, n array<long>, s array<double>")
 
 
-def _leaf_graph(vectors: DataFrame, wanted: DataFrame, leaves: Leaves, dim: int) -> DataFrame:
-    """The neighbour lists inside leaves; ``wanted`` has (id, l1, l2) of the ids asked for."""
-    shared = vectors.sparkSession.sparkContext.broadcast(leaves)
+class Graph:
+    """A finished graph: its anchors, the codes of its vectors, the lists (v, home, n, nh, s, f) by codes, and the share of new edges by round."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            x, rows = _matrix(rb.column("vec"), dim)
-            if not len(rows):
-                continue
-            a, b = shared.value(x, rb.column("id").to_numpy(zero_copy_only=False)[rows].astype(np.int64))
-            both = a != b
-            pick = pa.array(np.concatenate([rows, rows[both]]))
-            leaf = pa.array(np.concatenate([a, b[both]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([leaf, rb.column("id").take(pick), rb.column("vec").take(pick)], names=["leaf", "id", "vec"])
-
-    pool = vectors.mapInArrow(emit, "leaf int, id long, vec array<float>")
-    asked = wanted.select(F.explode(F.array_distinct(F.array("l1", "l2"))).alias("leaf"), "id", "l1", "l2")
-
-    def graph(left: pa.Table, right: pa.Table) -> pa.Table:
-        ask = right.to_pandas().drop_duplicates("id").set_index("id")
-        ids = left.column("id").to_numpy().astype(np.int64)
-        _, first = np.unique(ids, return_index=True)
-        keep = first[np.isin(ids[first], ask.index.to_numpy())]
-        left = left.take(pa.array(keep))
-        ids = ids[keep]
-        out: dict[str, list] = {c: [] for c in ("v", "l1", "l2", "n", "s", "n1", "n2")}
-        if len(ids):
-            leaf = right.column("leaf")[0].as_py()
-            x = _matrix(left.column("vec"), dim)[0]
-            y = x.astype(np.float32)
-            l1, l2 = ask["l1"].reindex(ids).to_numpy(np.int32), ask["l2"].reindex(ids).to_numpy(np.int32)
-            own = np.nonzero(l1 == leaf)[0]
-            k = min(KEEP, len(ids) - 1)
-            slack = 1e-6 + 2 * (dim + 4) * 2.0**-24  # what rounding and single precision may hide
-            for a in range(0, len(own) if k > 0 else 0, 1024):
-                q = own[a : a + 1024]
-                s = y[q] @ y.T
-                s[np.arange(len(q)), q] = -2
-                near = s >= np.partition(s, len(ids) - k, axis=1)[:, [len(ids) - k]] - np.float32(slack)
-                for i in range(len(q)):
-                    c = np.nonzero(near[i])[0]
-                    e = np.round(x[c] @ x[q[i]], 6)
-                    t = _top(ids[c], e, KEEP)
-                    c, v = c[t], q[i]
-                    for name, value in (("v", ids[v]), ("l1", l1[v]), ("l2", l2[v]), ("n", ids[c]), ("s", e[t]), ("n1", l1[c]), ("n2", l2[c])):
-                        out[name].append(value)
-            if k <= 0:
-                for v in own:
-                    for name, value in (("v", ids[v]), ("l1", l1[v]), ("l2", l2[v]), ("n", []), ("s", []), ("n1", []), ("n2", [])):
-                        out[name].append(value)
-        types = {"v": pa.int64(), "l1": pa.int32(), "l2": pa.int32(), "n": pa.list_(pa.int64()), "s": pa.list_(pa.float64()), "n1": pa.list_(pa.int32()), "n2": pa.list_(pa.int32())}
-        return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
-
-    return pool.groupBy("leaf").cogroup(asked.groupBy("leaf")).applyInArrow(graph, _LIST)
-
-
-def _unmet(lists: DataFrame) -> DataFrame:
-    """(leaf, v, m): neighbours of neighbours and reverse neighbours that have not met in a leaf."""
-    one = lists.select("v", F.col("l1").alias("leaf"), "l2", F.explode(F.arrays_zip("n", "n1", "n2")).alias("e")).select("v", "leaf", "l2", "e.n", "e.n1", "e.n2")
-    reverse = one.where("n1 <> leaf and n1 <> l2").select(F.col("n1").alias("leaf"), F.col("n").alias("v"), F.col("v").alias("m"))
-    step = one.select("v", "leaf", "n").join(lists.select(F.col("v").alias("n"), F.col("n").alias("m"), "n1", "n2"), "n")
-    zipped = F.filter(F.arrays_zip("m", "n1", "n2"), lambda z: (z["n1"] != F.col("leaf")) & (z["n2"] != F.col("leaf")) & (z["m"] != F.col("v")))
-    two = step.select("leaf", "v", F.explode(zipped).alias("z")).select("leaf", "v", F.col("z.m").alias("m"))
-    return two.unionByName(reverse).distinct()
-
-
-def _compare(vectors: DataFrame, pairs: DataFrame, dim: int) -> DataFrame:
-    """(v, m, s) of (leaf, v, m) pairs; each vector goes once to each leaf that needs it."""
-    need = pairs.select("leaf", F.explode(F.array("v", "m")).alias("id")).distinct()
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = np.zeros(BLOOM, bool)
-        for pdf in batches:
-            b[(pdf["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)] = True
-        yield pd.DataFrame({"b": [np.packbits(b).tobytes()]})
+    def __init__(self, leaves: Leaves, codes: DataFrame, spots: DataFrame, lists: DataFrame, rounds: list[float]):
+        self.leaves, self.codes, self.spots, self.lists, self.rounds = leaves, codes, spots, lists, rounds
 
-    held = np.zeros(BLOOM // 8, np.uint8)
-    for r in need.select("id").coalesce(8).mapInPandas(bits, "b binary").toLocalIterator():
-        held |= np.frombuffer(r["b"], np.uint8)
-    shared = vectors.sparkSession.sparkContext.broadcast(held)
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = np.unpackbits(shared.value).astype(bool)
-        for rb in batches:
-            ids = rb.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield rb.filter(pa.array(b[(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)]))
-
-    got = need.join(vectors.mapInArrow(some, "id long, vec array<float>"), "id").select(F.col("leaf").alias("to"), "id", "vec")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, rows = _matrix(right.column("vec"), dim)
-        at = {int(i): j for j, i in enumerate(right.column("id").to_numpy()[rows])}
-        v, m = left.column("v").to_numpy(), left.column("m").to_numpy()
-        ok = np.array([a in at and b in at for a, b in zip(v.tolist(), m.tolist())], bool)
-        v, m = v[ok], m[ok]
-        a, b = np.array([at[i] for i in v.tolist()], np.int64), np.array([at[i] for i in m.tolist()], np.int64)
-        s = np.concatenate([(x[a[i : i + 4096]] * x[b[i : i + 4096]]).sum(1) for i in range(0, len(a), 4096)]) if len(a) else np.zeros(0)
-        return pa.table({"v": pa.array(v, pa.int64()), "m": pa.array(m, pa.int64()), "s": pa.array(np.round(s, 6))})
-
-    return pairs.groupBy("leaf").cogroup(got.groupBy("to")).applyInArrow(score, "v long, m long, s double")
+def _clean(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
 
 
-def neighbour_graph(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wanted_col: str, dim: int, rounds: int = ROUNDS) -> DataFrame:
-    """Neighbour lists (v, l1, l2, n, s, n1, n2) of the valid vectors whose id is asked for, as a written table."""
-    vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
+def neighbour_graph(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wanted_col: str, dim: int, rounds: int = ROUNDS) -> Graph:
+    """The graph of the valid vectors whose id is asked for."""
+    vectors = _clean(vectors, id_col, vec_col, dim)
     leaves = plant(vectors, dim)
     ask = wanted.select(F.col(wanted_col).cast("long").alias("id")).where("id is not null").distinct()
-    spots = Cut(_assign(vectors, leaves, dim).distinct().join(ask, "id", "left_semi"), "spots")
-    lists = Cut(_leaf_graph(vectors, spots.df, leaves, dim), "lists")
-    met = None
-    for _ in range(rounds):
-        pairs = _unmet(lists.df)
-        if met is not None:
-            pairs = pairs.join(met.df.select("v", "m"), ["v", "m"], "left_anti")
-        new = Cut(pairs, "pairs")
-        if not new.df.limit(1).count():
-            break
-        found = Cut(_compare(vectors, new.df, dim).distinct(), "found")
-        worst = lists.df.select("v", F.when(F.size("n") >= KEEP, F.array_min("s")).alias("least"))
-        better = found.df.join(worst, "v").where("least is null or s >= least").select("v", "m", "s")
-        spot = spots.df.select(F.col("id").alias("m"), F.col("l1").alias("n1"), F.col("l2").alias("n2"))
-        extra = better.join(spot, "m").groupBy("v").agg(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("m").alias("n"), "n1", "n2")).alias("x"))
-        old = F.transform(F.arrays_zip("s", "n", "n1", "n2"), lambda z: F.struct((-z["s"]).alias("d"), z["n"].alias("n"), z["n1"].alias("n1"), z["n2"].alias("n2")))
-        merged = lists.df.join(extra, "v", "left").withColumn("x", F.slice(F.array_sort(F.array_distinct(F.concat(old, F.coalesce("x", F.array())))), 1, KEEP))
-        change = better.count()
-        after = Cut(merged.select("v", "l1", "l2", F.col("x.n").alias("n"), F.transform("x.d", lambda d: -d).alias("s"), F.col("x.n1").alias("n1"), F.col("x.n2").alias("n2")), "lists")
-        lists.drop()
-        lists = after
-        seen = Cut(found.df.select("v", "m") if met is None else met.df.unionByName(found.df.select("v", "m")), "met")
-        for x in (new, found, *([met] if met else [])):
+    codes = Cut(_place(vectors, leaves, dim), "codes").df
+    spots = Cut(codes.select("id", "home", "visit").distinct().join(ask, "id", "left_semi"), "spots").df
+    n = spots.count()
+    lists, shares = Cut(_start(spots, leaves), "lists"), []
+    for r in range(rounds):
+        links = Cut(_links(lists.df), "links")
+        if r == VISIT:
+            who = spots.where("visit <> home").withColumnRenamed("id", "v")
+            after = Cut(_merge(lists.df, _visits(who, links.df, codes, codes.where("visit <> home"), dim)), "lists")
+            for x in (lists, links):
+                x.drop()
+            lists = after
+            links = Cut(_links(lists.df), "links")
+        after = _round(lists.df, links.df, codes, codes, dim)
+        for x in (lists, links):
             x.drop()
-        met = seen
-        if not change:
+        lists = after
+        share = lists.df.agg(F.sum(F.size(F.filter("f", lambda z: z)))).first()[0] or 0
+        shares.append(share / max(1, n * KEEP))
+        if r >= VISIT and shares[-1] < ENOUGH:
             break
-    return lists.df
+    return Graph(leaves, codes, spots, lists.df, shares)
 
 
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wanted_col: str, k: int = 5, dim: int = 384) -> DataFrame:
     """(v, n, s, rank): the k most similar other vectors of every vector asked for."""
-    bare = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
+    bare = _clean(vectors, id_col, vec_col, dim)
     ask = wanted.select(F.col(wanted_col).cast("long").alias("id")).where("id is not null").distinct()
     # of copies of one vector the k + 1 smallest ids stand for all; what is best for the last of these is so for the others
     marks = bare.select("id", F.xxhash64("vec").alias("h"), F.xxhash64(F.reverse("vec")).alias("g")).distinct().join(ask, "id", "left_semi")
     rank = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
     first = Cut(marks.withColumn("r", rank).where(F.col("r") <= k + 1), "first").df
-    graph = neighbour_graph(vectors, id_col, vec_col, first, "id", dim)
+    g = neighbour_graph(vectors, id_col, vec_col, first, "id", dim)
+    graph = Cut(_exact(bare, g.lists, g.leaves, dim), "graph").df
     own = graph.select("v", F.posexplode(F.slice(F.arrays_zip("n", "s"), 1, k)).alias("p", "e")).select("v", "e.n", "e.s", (F.col("p") + 1).alias("rank"))
     first = first.join(graph.select(F.col("v").alias("id")), "id", "left_semi")  # invalid vectors have no list, their copies get none
     copies = marks.join(first.select("id"), "id", "left_anti")
@@ -302,40 +494,35 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, wanted: DataFrame, wa
     return own.unionByName(theirs.select(F.col("id").alias("v"), "n", "s", "rank"))
 
 
-def greedy_search(graph: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, k: int = 5, dim: int = 384, beam: int = 16, seeds: int = 512, steps: int = 12) -> DataFrame:
-    """(q, n, s, rank) of new queries (id, vector): a greedy walk over a finished graph.
+def greedy_search(graph: Graph, vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, k: int = 5, dim: int = 384, beam: int = 24, steps: int = 3) -> DataFrame:
+    """(q, n, s, rank) of (id, vector) queries: a greedy walk over a finished graph; a vector is no hit of the query of its own id.
 
-    Each query starts at the best of a bounded set of seed nodes; a step compares
-    it with the neighbours of its best nodes that it has not met, and the walk
-    ends when no query finds a better node.  The queries' ids must not be ids of
-    the graph's vectors.
+    The walk begins at random members of the query's two nearest cells and goes
+    on where it finds better nodes, in the cells first, then by joins of the
+    lists across cells, until no query finds a better one or ``steps`` is over.
     """
-    spark = vectors.sparkSession
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
-    asked = queries.select(F.col(query_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
-    both = Cut(base.unionByName(asked), "walk").df
-    lists = Cut(graph.select("v", "n"), "graph").df
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    start = lists.select(F.col("v").alias("m")).orderBy(F.xxhash64("v"), "v").limit(seeds)  # at most `seeds` rows
-    home = F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int").alias("leaf")
-    pairs = asked.select(F.col("id").alias("v")).distinct().crossJoin(F.broadcast(start)).select(home, "v", "m")
-    w = Window.partitionBy("v").orderBy(F.desc("s"), "m")
-    met = Cut(_compare(both, pairs, dim).distinct(), "met")
-    best = Cut(met.df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).select("v", "m", "s", F.lit(False).alias("done")), "beam")
+    asked = _clean(queries, query_col, vec_col, dim).withColumn("id", -1 - F.col("id"))  # no id of the graph's
+    codes = Cut(_place(asked, graph.leaves, dim), "queries")
+    links = Cut(_links(graph.lists), "links")
+    inside = graph.codes.join(graph.spots.select("id"), "id", "left_semi")
+    who = codes.df.select(F.col("id").alias("v"), "home", "visit").distinct()
+    own = codes.df
+    first = _visits(who.withColumn("visit", F.col("home")), links.df, inside, own.withColumn("visit", F.col("home")), dim, beam)
+    second = _visits(who.where("visit <> home"), links.df, inside, own.where("visit <> home"), dim, beam)
+    lists = Cut(_merge(who.join(first.drop("home"), "v", "left").select("v", "home", *[F.coalesce(c, F.array()).alias(c) for c in ("n", "nh", "s", "f")]), second, beam), "beam")
     for _ in range(steps):
-        front = best.df.where("not done")
-        new = front.select("v", F.col("m").alias("at")).join(lists.select(F.col("v").alias("at"), F.explode("n").alias("m")), "at").select("v", "m").distinct()
-        new = Cut(new.join(met.df.select("v", "m"), ["v", "m"], "left_anti").select(home, "v", "m"), "step")
-        if not new.df.limit(1).count():
+        # only the lists of nodes in a beam are followed, and only the codes of what they name are compared
+        some = links.df.join(lists.df.select(F.explode("n").alias("v")).distinct(), "v", "left_semi").withColumn("adj_new", F.transform("adj", lambda z: F.lit(False)))
+        ids = some.select("v", "adj").select(F.explode(F.concat(F.array("v"), "adj")).alias("id")).distinct()
+        after = _round(lists.df, some, graph.codes, own.unionByName(graph.codes.join(ids, "id", "left_semi")), dim, beam)
+        lists.drop()
+        lists = after
+        if not lists.df.where(F.exists("f", lambda z: z)).limit(1).count():
             break
-        found = Cut(_compare(both, new.df, dim).distinct(), "found")
-        merged = best.df.withColumn("done", F.lit(True)).unionByName(found.df.withColumn("done", F.lit(False)))
-        after = Cut(merged.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).drop("r"), "beam")
-        seen = Cut(met.df.unionByName(found.df), "met")
-        for x in (best, new, found, met):
-            x.drop()
-        best, met = after, seen
-    return best.df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("v").alias("q"), F.col("m").alias("n"), "s", "rank")
+    got = _exact(_clean(vectors, id_col, vec_col, dim), lists.df, graph.leaves, dim, asked)
+    flat = got.select((-1 - F.col("v")).alias("q"), F.posexplode(F.arrays_zip("n", "s")).alias("p", "e")).select("q", "p", "e.n", "e.s").where("q <> n")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("p"))
+    return flat.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "n", "s", "rank")
 
 
 def _nearest(spark, sf_dir: str) -> DataFrame:
@@ -346,6 +533,14 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select(F.least("v", "n").alias("vector_a"), F.greatest("v", "n").alias("vector_b")).distinct()
 
 
+def p4_search(spark, sf_dir: str) -> DataFrame:
+    """Greedy search of the graph for every vector whose index is divisible by 50, against all the others."""
+    v = read(spark, sf_dir, "madurai_vectors")
+    graph = neighbour_graph(v, "vector_index", "vector", read(spark, sf_dir, "madurai_semantic_meta"), "vector_index", 384)
+    got = greedy_search(graph, v, "vector_index", "vector", v.where("vector_index % 50 = 0"), "vector_index")
+    return got.select(F.col("q").alias("vector_index"), F.col("n").alias("neighbour"), F.col("rank").cast("int").alias("rank"), F.col("s").alias("cosine"))
+
+
 def p4_neighbours(spark, sf_dir: str) -> DataFrame:
     """The neighbours of every vector with rank and cosine."""
     return _nearest(spark, sf_dir).select(F.col("v").alias("vector_index"), F.col("n").alias("neighbour"), F.col("rank").cast("int").alias("rank"), F.col("s").alias("cosine"))
@@ -360,4 +555,4 @@ t as (select * from s qualify row_number() over (partition by a order by s desc,
 select distinct least(a, b) as vector_a, greatest(a, b) as vector_b from t
 """
 }
-QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_search": p4_search}

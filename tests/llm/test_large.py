@@ -77,8 +77,8 @@ def _vectors(seed=3, n=400, dim=16):
 
 
 def test_nearest(spark, monkeypatch):
-    monkeypatch.setattr(nearest_vectors, "LEAF", 30)
-    monkeypatch.setattr(nearest_vectors, "CAP", 60)
+    monkeypatch.setattr(nearest_vectors, "CELL", 30)
+    monkeypatch.setattr(nearest_vectors, "PART", 60)
     rows = _vectors()
     same = rows[5][1]
     rows += [(1000 + i, same) for i in range(12)] + [(2000, None), (2001, [1.0]), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [0.0] * 16), (3000, rows[7][1]), (5, same)]
@@ -129,7 +129,7 @@ def test_greedy_search(spark):
     q = spark.createDataFrame([(10_000 + i, x) for i, x in rows[360:]] + [(9, None)], "i long, v array<float>")
     g = nearest_vectors.neighbour_graph(v, "i", "v", v, "i", 16)
     got: dict = {}
-    for r in nearest_vectors.greedy_search(g, v, "i", "v", q, "i", 5, 16, seeds=40).collect():
+    for r in nearest_vectors.greedy_search(g, v, "i", "v", q, "i", 5, 16).collect():
         got.setdefault(r.q - 10_000, set()).add(r.n)
     m = np.array([x for _, x in rows], dtype=np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
