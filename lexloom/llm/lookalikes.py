@@ -30,15 +30,26 @@ from pyspark.sql import functions as F
 
 from lexloom.session import read, spread
 
-# Look-alike letters, each row a string of single characters that look like the
-# first one; Tamil numerals and the AU length mark beside the letters they mimic.
-ALIKE = (
-    "AΑАᎪ", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІ", "JЈ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "SЅ", "TΤТ", "XΧХ", "YΥҮ", "ZΖ",
-    "aаɑ", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iіι", "jј", "oоοօ", "pр", "qԛ", "sѕ", "uυս", "vνѵ", "wԝ", "xх", "yу",
-    "க௧", "உ௨", "எ௭", "அ௮", "ய௰", "ளௗ",
+# Pairs of letters that look alike, as listed script by script; union-find closes the chains they form
+# (Latin A - Greek Alpha - Cyrillic A - Cherokee Go).  The first of a class is its representative on a tie.
+PAIRS = (
+    # Latin and Greek
+    "AΑ BΒ EΕ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ ZΖ iι oο uυ vν cϲ CϹ",
+    # Greek and Cyrillic
+    "ΑА ΒВ ΕЕ ΗН ΙІ ΚК ΜМ ΟО ΡР ΤТ ΧХ ΥҮ ιі οо νѵ ϲс ϹС",
+    # Latin and Cyrillic
+    "SЅ JЈ jј aа eе pр sѕ xх yу hһ dԁ qԛ wԝ",
+    # Latin and phonetic letters, Cyrillic and Cherokee, Cyrillic and Armenian
+    "aɑ gɡ", "АᎪ", "оօ uս",
+    # Tamil letters, and numerals and the AU length mark that mimic them
+    "க௧ உ௨ எ௭ அ௮ ய௰ ளௗ",
+)
+ALIKE = tuple(x for row in PAIRS for x in row.split())
+#: Look-alike strings of several code points, pair by pair: split and joined vowel signs (which composition joins too, but not
+#: under marks between) and the two spellings of SRI.
+ALIKE_STRINGS: tuple[tuple[str, ...], ...] = (
+    ("\u0bcc", "\u0bc6\u0bd7"), ("\u0bca", "\u0bc6\u0bbe"), ("\u0bcb", "\u0bc7\u0bbe"), ("\u0bb8\u0bcd\u0bb0\u0bc0", "\u0bb6\u0bcd\u0bb0\u0bc0"),
 )
-#: Look-alike strings of several code points: rows of members.
-ALIKE_STRINGS: tuple[tuple[str, ...], ...] = (("\u0bcc", "\u0bc6\u0bd7"), ("\u0bca", "\u0bc6\u0bbe"), ("\u0bcb", "\u0bc7\u0bbe"))
 
 _POINTS = (*range(0x10000), *range(0x11000, 0x1E000), *range(0xE0000, 0xE0200))
 _INVISIBLE = {c for c in _POINTS if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\r\v\f\x1c\x1d\x1e\x1f\x85"}
@@ -153,22 +164,24 @@ class Rewriter:
 
 
 def member_counts(frames: list[DataFrame], groups: list[list[str]]) -> dict[str, int]:
-    """How often every class member of one character occurs in all rows of ``t`` of the frames."""
+    """How often every class member, a character or a string, occurs in all rows of ``t`` of the frames."""
     points = np.array(sorted({ord(m) for g in groups for m in g if len(m) == 1}), dtype=np.uint32)
+    strings = sorted({m for g in groups for m in g if len(m) > 1})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(points), dtype=np.int64)
+        total, long = np.zeros(len(points), dtype=np.int64), np.zeros(len(strings), dtype=np.int64)
         for pdf in batches:
-            x = np.frombuffer("".join(v for v in pdf["t"] if v).encode("utf-32-le", "replace"), dtype=np.uint32)
-            n = np.bincount(np.minimum(x, points[-1] + 1), minlength=int(points[-1]) + 2)
-            total += n[points]
-        yield pd.DataFrame({"c": points.astype(np.int64), "n": total})
+            text = "\0".join(v for v in pdf["t"] if v)
+            x = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+            total += np.bincount(np.minimum(x, points[-1] + 1), minlength=int(points[-1]) + 2)[points]
+            long += [text.count(m) for m in strings]
+        yield pd.DataFrame({"m": [*map(chr, points), *strings], "n": [*total, *long]})
 
-    both = [f.mapInPandas(count, "c long, n long") for f in frames]
+    both = [f.mapInPandas(count, "m string, n long") for f in frames]
     union = both[0]
     for b in both[1:]:
         union = union.unionByName(b)
-    return {chr(r["c"]): r["n"] for r in union.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    return {r["m"]: r["n"] for r in union.groupBy("m").agg(F.sum("n").alias("n")).collect()}  # a row a class member
 
 
 def consistent_form(frames: list[tuple[DataFrame, list[str], list[str]]]) -> list[DataFrame]:
@@ -186,7 +199,8 @@ def consistent_form(frames: list[tuple[DataFrame, list[str], list[str]]]) -> lis
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         form = Rewriter(reps)
         for s in batches:
-            yield s.map(form, na_action="ignore")
+            at, distinct = pd.factorize(s)  # a batch's repeated words are rewritten once
+            yield pd.Series([*map(form, distinct), None], dtype=object).iloc[at].reset_index(drop=True)
 
     form = F.pandas_udf(run, "string")  # type: ignore[call-overload]
     return [x.withColumn("form", form("t")).withColumnRenamed("t", "stored") for x in long]

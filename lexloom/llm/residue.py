@@ -1,11 +1,13 @@
 """Problem 1: records that are what a template or a failed page left behind.
 
 Messages of servers and browsers, filler and script notices are matched with one
-multi-pattern automaton over phrases of several languages; what the phrases
-cover is compared with the length of the line they stand in and of the whole
-record.  Prose that only mentions an error has a long line with a short match;
-a left-over message is a line that is mostly match.  Unfilled placeholders are
-recognised by their delimiters and count wherever they stand.
+multi-pattern automaton over phrases of several languages; what the phrases, and
+what failed programs print, cover is compared with the length of the record and
+of every line of it: a record that contains a left-over message is to be found
+too, and there the message is a line that is mostly match, while prose that
+speaks of an error is a long line with a short match.  Nothing but an unfilled
+placeholder of a form that only templates use counts without that share.
+``coverage`` is the share of the whole record.
 
 Defined results: null, empty and blank texts are no residue (kind null, coverage
 0); matching ignores case, marks of form and invisible characters; every row of
@@ -71,17 +73,20 @@ undefined|null|nan|none|object object|n a n a
 _LATIN = ("lorem", "ipsum", "consectetur", "adipiscing", "eiusmod", "incididunt", "dolor", "tempor", "labore")
 
 _NAME = r"[^\W\d][\w.\-]*"
+#: Marks that only templates use; they count wherever they stand, as a record that holds one was not filled.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{1,80}%\}|<%[=\-#]?[^%\n]{1,80}%>|<\?(?:php|=)[^?\n]{0,80}\?>|[$#]\{[^{}\n]{1,60}\}|%\(" + _NAME + r"\)[sdfr]|%%" + _NAME + r"%%|@@" + _NAME + r"@@"
-    r"|(?<!\w)__[^\W_](?:\w*[^\W_])?__(?!\w)|\{\d{1,2}\}|\[\[?%[^%\n]{1,60}%\]?\]|<(" + _NAME + r")>\s*(?:…|\.\.\.)\s*</\1>|\[object object\]|\[(?:insert|your|enter|add|type|put|replace)\b[^\]\n]{0,60}\b(?:here|goes here|below)\b[^\]\n]{0,20}\]"
-    r"|\[(?:insert|enter|your) [^\]\n]{1,40}\]|<(?:insert|enter|your) [^>\n]{1,40}>",
-    re.I,
+    r"\{\{[^{}\n]*\}\}|\{%[^%\n]+%\}|<%[=\-#]?[^%\n]+%>|<\?(?:php|=)[^?\n]*\?>|[$#]\{[^{}\n]+\}|%\(" + _NAME + r"\)[sdfr]|%%" + _NAME + r"%%|@@" + _NAME + r"@@"
+    r"|(?<!\w)__[A-Z][A-Z\d]*(?:_[A-Z\d]+)*__(?!\w)|\[\[?%[^%\n]+%\]?\]|<(" + _NAME + r")>\s*(?:…|\.\.\.)\s*</\1>|\[[Oo]bject [Oo]bject\]"
+    r"|(?i:\[(?:insert|your|enter|add|type|put|replace)\b[^\]\n]*\b(?:here|goes here|below)\b[^\]\n]*\])"
 )
-#: Lines of programs that failed; the whole line is message.
+#: Forms that an editor may write too: they count by the share of their line that they cover.
+DOUBTFUL = re.compile(r"(?<!\w)__[^\W_](?:\w*[^\W_])?__(?!\w)|\{\d+\}|\[(?:insert|enter|your) [^\]\n]+\]|<(?:insert|enter|your) [^>\n]+>", re.I)
+#: What failed programs print, by line; it counts by the share of the line that it covers.
 PROGRAM = re.compile(
-    r"traceback \(most recent call last\)|^\s*file \"[^\"]*\", line \d+|\.php on line \d+|^(?:[a-z_]\w*\.)*[a-z]\w*(?:error|exception)(?:: |$)|<noscript\b|^\s*at [\w.$]+\([\w.]+:\d+\)|\bray(?: id)?:? [0-9a-f]{4,}"
-    r"|^http/\d(?:\.\d)? \d{3}|^(?:http )?(?:error )?[45]\d\d(?: error)?[.!]?$|^\W*(?:todo|fixme)\b *[:\-]|^(?:undefined|null|nan|none)\b[^\n]{0,60}\b(?:undefined|null|nan|none)\W*$|^(?:error )?[45]\d\d[ :\-–]+(?:not found|forbidden|unauthorized|bad request|gone|internal server error|bad gateway|service unavailable|gateway time-?out|too many requests)\.?$",
-    re.I | re.M,
+    r"traceback \(most recent call last\).*|^\s*file \"[^\"]*\", line \d+.*|.*\.php on line \d+.*|^(?:[a-z_]\w*\.)*[a-z]\w*(?:error|exception)(?:: .*|$)|^\W*<noscript\b.*|^\s*at [\w.$]+\([\w.]+:\d+\)"
+    r"|(?<![\w\-])ray(?: id)?:? (?=[a-f]*\d)[0-9a-f]{6,}\W*$|^http/\d(?:\.\d)? \d{3}.*|^(?:http )?(?:error )?[45]\d\d(?: error)?[.!]?$|^\W*(?:todo|fixme) *: *(?:paste|add|insert|write|fill|supply|put|complete|translate|replace)\b.*"
+    r"|^(?:error )?[45]\d\d[ :\-–]+(?:not found|forbidden|unauthorized|bad request|gone|internal server error|bad gateway|service unavailable|gateway time-?out|too many requests)\.?$",
+    re.I,
 )
 #: A text without any of these has no placeholder and no program line.
 _SIGNS = re.compile(r"[A-Za-z{}\[<%@]|[45]\d\d|__")
@@ -106,11 +111,16 @@ class Finder:
         self.form = Rewriter(representatives({}, classes()))
 
     def line(self, line: str) -> tuple[dict[str, int], int]:
-        """Letters and digits the phrases of each kind cover, and all of the line."""
-        bare = re.sub(r"[\[(][^\])]{0,40}[\])]\s*$", "", line)  # a reference number or id at the end
-        words = [w for w in re.findall(r"[\w஀-௿]+", bare.replace("_", " ")) if not w.isdigit()]
+        """Letters and digits the messages of each kind cover, and all of the line."""
+        bare = _REFERENCE.sub("", line)
+        words = [w for w in _WORD.findall(bare.replace("_", " ")) if not w.isdigit()]
         if not words:
-            return {}, 0
+            words = _WORD.findall(line)
+            n = sum(map(len, words))
+            if n and PROGRAM.search(line):
+                return {"failure": n}, n
+            held = sum(len(w) for m in DOUBTFUL.finditer(line) for w in _WORD.findall(m[0]))
+            return ({"placeholder": held} if held else {}), n
         text = f" {' '.join(words)} "
         spans: list[tuple[int, int, str]] = []
         latin = False
@@ -120,15 +130,26 @@ class Finder:
         if not latin:  # short Latin words are filler only beside the telling ones
             spans = [s for s in spans if s[2] != "filler" or text[s[0] : s[1]] not in _SHORT]
         got: dict[str, int] = {}
-        at = 0
+        at, total = 0, sum(map(len, words))
         for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
             a = max(a, at)
             if b > a:
                 got[kind] = got.get(kind, 0) + sum(not c.isspace() and not c.isdigit() for c in text[a:b])
                 at = b
-        return got, sum(map(len, words))
+        for kind, pattern in (("failure", PROGRAM), ("placeholder", DOUBTFUL)):
+            for m in pattern.finditer(line):
+                size = sum(map(len, _WORD.findall(m[0].replace("_", " "))))
+                kind = "script" if "noscript" in m[0].lower() else kind
+                got[kind] = max(got.get(kind, 0), min(size, total))
+        while sum(got.values()) > total:  # what two kinds cover counts once
+            least = min(got, key=got.get)
+            got[least] = max(0, total - sum(v for k, v in got.items() if k != least))
+            if not got[least]:
+                del got[least]
+        return got, total
 
     def __call__(self, t: str | None) -> tuple[str | None, float]:
+        """The kind and the share of the record that is message."""
         if t is None or not t.strip():
             return None, 0.0
         t = self.form(t)
@@ -136,9 +157,7 @@ class Finder:
         if plain and PLACEHOLDER.search(t) is not None:
             return "placeholder", min(1.0, sum(x.end() - x.start() for x in PLACEHOLDER.finditer(t)) / max(1, len(t.strip())))
         low = t.lower().replace("’", "'")
-        if plain and (m := PROGRAM.search(low)) is not None:
-            return "script" if "noscript" in m[0] else "failure", 1.0
-        if next(self.auto.iter(f" {' '.join(_WORDS.findall(low))} "), None) is None:
+        if next(self.auto.iter(f" {' '.join(_WORDS.findall(low))} "), None) is None and not (plain and (DOUBTFUL.search(low) or any(map(PROGRAM.search, low.splitlines())))):
             return None, 0.0
         total, held, best = 0, {}, (None, 0.0)
         for line in re.split(r"[\r\n]+", low):
@@ -149,11 +168,13 @@ class Finder:
             share = sum(got.values()) / n if n else 0.0
             if share >= self.covered and share > best[1]:
                 best = (max(got, key=got.get), share)
-        if best[0] is None and total and sum(held.values()) / total >= self.covered:
-            best = (max(held, key=held.get), sum(held.values()) / total)
-        return best[0], best[1] if best[0] else (sum(held.values()) / total if total else 0.0)
+        whole = sum(held.values()) / total if total else 0.0
+        kind = best[0] or (max(held, key=held.get) if whole >= self.covered else None)
+        return kind, min(1.0, whole)
 
 
+_WORD = re.compile(r"[\w஀-௿]+")
+_REFERENCE = re.compile(r"[\[(]\s*[\w./:#\-]+\s*[\])]\s*$")  # a number or id at the end of a line
 _SHORT = {w for w in FILLER.split("non|proident")[0].replace("\n", "|").split("|") if " " not in w} - set(_LATIN) | set("non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 
 

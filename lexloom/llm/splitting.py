@@ -1,14 +1,15 @@
 """Problem 2: cutting oversized items at natural boundaries.
 
-A text (a row's value or a file of any size) is processed as ranges.  Each
-worker reads one range and a halo after it, and finds the natural start of the
-range in its own halo: the best boundary (stanza, line, sentence, word, else the
-bare offset) within the first ``limit`` units.  It finds the start of the next
-range by the same rule from the halo, so neighbouring workers agree without
-talking.  A boundary table with one row per range (start, code points, line
-ends, and the segments left open at both ends) is stitched by prefix, and a
-second pass emits the pieces of every range by global offset.  No worker holds a
-whole file.
+A text (a row's value or a file of any size) is processed as ranges.  A range is
+read with a halo after it, and its natural start found in its own halo: the best
+boundary (stanza, line, sentence, word, else the bare offset) within the first
+``limit`` units.  The start of the next range is found by the same rule from the
+halo, so neighbouring workers agree without talking.  A boundary table with one
+row per range (start, code points, line ends, and the segments left open at both
+ends) is stitched by prefix sums, and a second pass emits the pieces of every
+range by global offset.  The ranges of a row are measured and stitched where the
+row is; those of a file by as many workers as it has ranges, none of which holds
+a whole file.
 
 Inside a range the text is divided at stanzas; what is over the limit at lines;
 then at sentences, at words, and last at the bare limit.  Neighbouring segments
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from lexloom.session import Cut, read, spread
 
 LIMIT, OVERLAP = 1200, 120
-RANGE = 65_536  #: code points of a text column, bytes of a file, in a range
+RANGE = 4096  #: code points of a text column in a range, at least the limit
+FILE_RANGE = 4 << 20  #: bytes of a file in a range
 KINDS = ("stanza", "line", "sentence", "word", "none")
 BLANK = " \t\r\n"
 _CUTS = [
@@ -148,6 +150,16 @@ def _stitch(ranges: list[tuple], limit: int) -> int:
     return next((k for k in range(4) if max(longest[k], end - start[k]) <= limit), 4)
 
 
+def _back(t: str, start: int, end: int, overlap: int) -> int:
+    """Where the repeated part of a piece t[start:end] begins: after white space if there is any in reach."""
+    low = max(start, end - overlap)
+    if low > start:
+        m = re.compile(r"\s").search(t, low, end)
+        if not t[low - 1].isspace() and m and m.end() < end:
+            return m.end()
+    return low
+
+
 def cut_text(t: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
     """(start of the repeated text, start, end, kind of the boundary at the start) of every piece.
 
@@ -167,11 +179,7 @@ def cut_text(t: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
             j = min(ends)[2] if ends else j
         b, back = seg[j][1], a
         if out:
-            back = low = max(out[-1][1], out[-1][2] - overlap)
-            if low > out[-1][1]:
-                m = re.compile(r"\s").search(t, low, out[-1][2])
-                if not t[low - 1].isspace() and m and m.end() < out[-1][2]:
-                    back = m.end()
+            back = _back(t, out[-1][1], out[-1][2], overlap)
         out.append((back, a, b, seg[i][2]))
         i = j + 1
     return out
@@ -199,85 +207,72 @@ def split(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()
     x = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), *[F.col(c).alias(f"carry_{c}") for c in carry]).where("t is not null")
     core = F.regexp_replace("t", r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     x = x.where(F.length(core) > (0 if every else limit)).distinct()
-    x = x.withColumn("chars", F.length("t")).withColumn("key", F.xxhash64("id", "t"))
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("chars") - 1, F.lit(0)).cast("long"), F.lit(size).cast("long"))
-    r = x.select(*[c for c in x.columns if c != "t"], F.posexplode(starts).alias("range", "at"), "t")
-    r = r.select(*[c for c in r.columns if c != "t"], F.expr(f"substring(t, int(at + 1), {size + 2 * limit})").alias("t"), F.expr(f"if(at = 0, '', substring(t, int(greatest(at - {overlap}, 0) + 1), int(least(at, {overlap}))))").alias("before"))
-    return _emit(r, carry, limit, overlap, size).withColumnRenamed("id", id_col)
-
-
-def _emit(r: DataFrame, carry: tuple[str, ...], limit: int, overlap: int, size: int) -> DataFrame:
-    """Both passes over a table of ranges: measure and stitch, then emit by offset."""
-
-    def own(t: str, at: int, chars: int) -> tuple[int, int]:
-        """The part of a range's text that is its own: up to the natural start of the next range."""
-        a = _start(t, limit) if at else 0
-        return a, (size + _start(t[size:], limit) if at + size < chars else len(t))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, k, at, chars, t in zip(pdf["key"], pdf["range"], pdf["at"], pdf["chars"], pdf["t"]):
-                a, b = own(t, at, chars)
-                rows.append((key, k, t.count("\n", a, b), *_open(t[a:b], at + a, limit)))
-            out = pd.DataFrame(rows, columns=["key", "range", "lines", *names])
-            yield out.astype({"first": "Int64", "last": "Int64"})
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:  # a row a range of one text
-        pdf = pdf.sort_values("range")
-        rows = [(None if pd.isna(x[0]) else int(x[0]), *x[1:]) for x in pdf[names].itertuples(index=False, name=None)]
-        return pd.DataFrame({"key": pdf["key"], "range": pdf["range"], "line0": pdf["lines"].cumsum() - pdf["lines"], "needs": _stitch(rows, limit)})
-
-    one = r.where(F.col("chars") <= size).withColumns({"line0": F.lit(0).cast("long"), "needs": F.lit(None).cast("int")})
-    long = r.where(F.col("chars") > size)
-    names = [x.split()[0] for x in _RANGE.split(", ")]
-    table = long.select("key", "range", "at", "chars", "t").mapInPandas(measure, f"key long, range int, lines long, {_RANGE}")
-    stitched = table.groupBy("key").applyInPandas(stitch, "key long, range int, line0 long, needs int")
-    r = one.unionByName(long.join(stitched, ["key", "range"]))
     kept = ["id", *[f"carry_{c}" for c in carry]]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            where, rows = [], []
-            for i, (at, chars, t, before, line0, need) in enumerate(zip(pdf["at"], pdf["chars"], pdf["t"], pdf["before"], pdf["line0"], pdf["needs"])):
-                a, b = own(t, at, chars)
-                kind = coarsest(t[a:b], limit) if need is None or need != need else KINDS[int(need)] if need >= 0 else None
-                for n, (back, x, y, k) in enumerate(cut_text(t[a:b], limit, overlap)):
-                    back, x, y = back + a, x + a, y + a
-                    text, lead = t[back:y], 0
-                    if at and n == 0:  # the piece before ends in the range before, or in this one's halo
-                        held = (before + t[:x]).rstrip(BLANK)[-overlap:]
-                        lead, text = len(held), held + t[x:y]
-                        back = x - lead
-                    line = line0 + t.count("\n", a, x)
+            where: list[int] = []
+            rows: list[tuple] = []
+            for i, t in enumerate(pdf["t"]):
+                for row in emit(t, limit, overlap, size):
                     where.append(i)
-                    rows.append((kind, int(at + back), int(at + y), int(at + x), KINDS[k] if at + x and n + at else "start", line + 1, line + 1 + t.count("\n", x, y), text))
+                    rows.append(row)
             out = pdf[kept].iloc[where].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(rows, columns=["needs", "piece_start", "piece_end", "new_start", "boundary", "first_line", "last_line", "text"])], axis=1)
-
-    kinds = dict(r.dtypes)
-    p = r.mapInPandas(pieces, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", needs string, " + _PIECES)
-    return p.select("id", *[F.col(f"carry_{c}").alias(c) for c in carry], *p.columns[len(kept) :])
-
-
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = 4 << 20) -> DataFrame:
+            yield pd.concat([out, pd.DataFrame(rows, columns=_COLUMNS)], axis=1)
+
+    kinds = dict(x.dtypes)
+    p = x.mapInPandas(pieces, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", needs string, " + _PIECES)
+    return p.select(F.col("id").alias(id_col), *[F.col(f"carry_{c}").alias(c) for c in carry], *p.columns[len(kept) :])
+
+
+_COLUMNS = ["needs", "piece_start", "piece_end", "new_start", "boundary", "first_line", "last_line", "text"]
+
+
+def emit(t: str, limit: int, overlap: int, size: int) -> Iterator[tuple]:
+    """The pieces of a text from its ranges, as rows of _COLUMNS: starts from the halos, the boundary table stitched, pieces by offset."""
+    if size < limit:
+        raise ValueError("a range must hold a piece")
+    starts = [at + (_start(t[at : at + limit], limit) if at else 0) for at in range(0, max(1, len(t)), size)]
+    ends = [*starts[1:], len(t)]
+    table = [_open(t[a:b], a, limit) for a, b in zip(starts, ends)]
+    need = _stitch(table, limit)
+    kind = KINDS[need] if need >= 0 else None
+    line, last = 1, None
+    for a, b in zip(starts, ends):
+        own, at = t[a:b], 0
+        for n, (back, x, y, k) in enumerate(cut_text(own, limit, overlap)):
+            line += own.count("\n", at, x)
+            at = x
+            first = a + back if n or last is None else _back(t, *last, overlap)  # the piece before may end in the range before
+            last = a + x, a + y
+            yield kind, first, a + y, a + x, KINDS[k] if a + x and n + a else "start", line, line + own.count("\n", x, y), t[first : a + y]
+        line += own.count("\n", at)
+
+
+def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = FILE_RANGE) -> DataFrame:
     """Pieces of UTF-8 files by byte range: ``path, piece_start, piece_end, new_start, char_start, first_line, boundary, text``.
 
     Offsets are bytes, limit and overlap code points; ``char_start`` and
-    ``first_line`` come from the prefix sums of the ranges before.  Each task
-    opens the file (on a file system all executors mount) and reads only its
-    range and halo.
+    ``first_line`` come from the prefix sums of the ranges before.  Paths are
+    those of any file system that Spark and Arrow both know; each task reads only
+    its range and halo.
     """
-    import os
-
     halo = 8 * limit
-    rows = [(p, k, at, os.path.getsize(p)) for p in paths for k, at in enumerate(range(0, os.path.getsize(p), size))]
-    r = spark.createDataFrame(rows, "path string, range long, at long, total long") if rows else spark.createDataFrame([], "path string, range long, at long, total long")
-    r = r.repartition(max(1, min(len(rows), 10_000)), "path", "range")
+    if paths:  # only the names and lengths are read here
+        found = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("total"))
+    else:
+        found = spark.createDataFrame([], "path string, total long")
+    cuts = F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(size).cast("long"))
+    r = found.where("total > 0").select("path", "total", F.posexplode(cuts).alias("range", "at")).select("path", F.col("range").cast("long").alias("range"), "at", "total")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = r.repartition(tasks, "path", "range")
 
     def load(path: str, at: int) -> tuple[str, str, int]:
         """The range's text from its first whole character, what stands before it, and bytes skipped."""
-        with open(path, "rb") as f:
+        from pyarrow import fs
+
+        where, name = (fs.LocalFileSystem(), re.sub("^file:/*", "/", path)) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
+        with where.open_input_file(name) as f:
             low = max(0, at - 4 * overlap)
             f.seek(low)
             b = f.read(at - low + size + halo)
@@ -326,7 +321,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                     rows.append((p, base - len(held.encode()), base + len(t[x:y].encode()), base, char0 + x - a, line0 + 1 + t.count("\n", a, x), KINDS[k] if n or at else "start", held + t[x:y] if n == 0 else t[back + a : y]))
                 yield pd.DataFrame(rows, columns=["path", "piece_start", "piece_end", "new_start", "char_start", "first_line", "boundary", "text"])
 
-    return stitched.repartition(max(1, min(len(rows), 10_000)), "path", "at").mapInPandas(emit, "path string, piece_start long, piece_end long, new_start long, char_start long, first_line long, boundary string, text string")
+    return stitched.repartition(tasks, "path", "at").mapInPandas(emit, "path string, piece_start long, piece_end long, new_start long, char_start long, first_line long, boundary string, text string")
 
 
 def line_span(line_range: Column | str) -> tuple[Column, Column]:
@@ -337,8 +332,13 @@ def line_span(line_range: Column | str) -> tuple[Column, Column]:
     return F.when(ok, a), F.when(ok, b)
 
 
-def _pieces(spark, sf_dir: str) -> DataFrame:
-    return split(spread(read(spark, sf_dir, "chunks")), "chunk_id", "original_text", ("stanza_number", "line_range"))
+def _pieces(spark, sf_dir: str, size: int = RANGE) -> DataFrame:
+    return split(spread(read(spark, sf_dir, "chunks")), "chunk_id", "original_text", ("stanza_number", "line_range"), size=size)
+
+
+def p2_ranges(spark, sf_dir: str) -> DataFrame:
+    """The same as p2_found from the smallest ranges there can be: where a text is cut into ranges must not matter."""
+    return _pieces(spark, sf_dir, LIMIT).select("chunk_id", F.col("needs").alias("boundary")).distinct()
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
@@ -364,4 +364,5 @@ m as (select chunk_id, {_LONGEST.format('[t]')} a, {_LONGEST.format("regexp_spli
 select chunk_id, case when b <= {LIMIT} then 'stanza' when c <= {LIMIT} then 'line' when d <= {LIMIT} then 'sentence' when e <= {LIMIT} then 'word' else 'none' end as boundary from m where a > {LIMIT}
 """
 }
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+SQL["p2_ranges"] = SQL["p2_found"]
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_ranges": p2_ranges}

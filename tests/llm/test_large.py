@@ -245,11 +245,42 @@ def test_frequent_useless_words_push_nothing_out(spark):
     many = " ".join(f"u{i}x" for i in range(50_200))
     docs = [(i, many if i < 10 else "plain", "s") for i in range(30)] + [(30 + i, "telling word", "s") for i in range(6)]
     labels = [(i, "law" if i < 30 else "music") for i in range(36)]
-    words, _ = subjects.learn(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, subject string"), ["law", "music"])
-    assert words == {"telling": 2, "word": 2}
-
-
-def test_latent_model_trusts_the_better_function():
-    p = {(1, 1, -1, -1, -1): 50, (2, 2, -1, -1, -1): 50, (0, 0, -1, -1, -1): 80, (1, 2, -1, -1, -1): 5, (0, 1, -1, -1, -1): 5}
-    best = subjects.fit(p, 2)
-    assert best[1, 2, -1, -1, -1] == 1 and best[0, 0, -1, -1, -1] == 0 and subjects.fit({}, 2) == {}
+    lexicon, _ = subjects.learn(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, subject string"), ["law", "music"])
+    assert lexicon.telling == {"telling": 2, "word": 2} and not lexicon.likely
+
+
+def test_latent_model_learns_whom_to_trust():
+    rnd = random.Random(2)
+    # three functions see the truth with these accuracies, one is silent
+    right, table, truth = (0.97, 0.9, 0.6), Counter(), {}
+    for _ in range(20_000):
+        y = rnd.randint(1, 4)
+        v = tuple((y if rnd.random() < a else rnd.choice([x for x in range(1, 5) if x != y])) if rnd.random() < 0.7 else -1 for a in right) + (-1,)
+        table[v] += 1
+        truth.setdefault(v, Counter())[y] += 1
+    post = subjects.fit(dict(table), 4)
+    for v in ((1, 2, -1, -1), (-1, 3, 1, -1), (2, 3, 3, -1)):
+        assert post[v].argmax() == max(truth[v], key=truth[v].get), v
+    assert post[1, 2, -1, -1][1] > 0.6 and 0.75 > post[-1, -1, 2, -1][2] > 0.3 and post[-1, -1, -1, -1][0] == 1
+    assert subjects.fit({}, 2) == {} and set(subjects.fit({(-1, -1): 3}, 2)) == {(-1, -1)}
+
+
+def test_share_of_sentences():
+    import itertools
+
+    p, n = np.array([0.9, 0.3, 0.5]), np.array([3, 2, 2])
+    each = np.repeat(p, n)
+    for need in range(0, 9):
+        want = sum(np.prod(np.where(x, each, 1 - each)) for x in itertools.product([0, 1], repeat=7) if sum(x) >= need)
+        assert abs(subjects.at_least(p, n, need) - want) < 1e-9
+    assert subjects.at_least(np.array([0.26]), np.array([40_000]), 10_000) > 0.99
+
+
+def test_the_model_decides(spark, corpus):
+    """Words one document in three ties to another subject are trusted less than telling ones."""
+    docs, truth = corpus
+    labels = spark.createDataFrame([(i, s) for i in range(160) for s in truth[i]], "doc_id long, subject string")
+    lexicon, origin = subjects.learn(spark.createDataFrame(docs, "doc_id long, text string, source string"), labels, ["law", "music", "trade"])
+    words, held = subjects.Words(), subjects.Index([(1, " ".join(f"w{i}" for i in range(12)))], 10)
+    got = list(subjects.vote([("law0x law1x f1. " + " ".join(f"w{i}" for i in range(12)) + ". f2 f3!", None), (None, "s")], lexicon, origin, held, words))
+    assert sum(got[0].values()) == 2 and not got[1]  # the held-out sentence is set aside

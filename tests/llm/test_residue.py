@@ -14,6 +14,7 @@ RESIDUE = [
 GENUINE = [
     None, "", "  \n", "அறம் செய விரும்பு", "{சொடை} முன்றூனை", "[raalaisor] ஒந்தாரில்", "#42 முறின்", "x < y : z", "a & b", "word* வரி", "பண் - காந்தாரம்", "தோழி கூற்று", "Source: x Published by: Y", "Abc: desk@abc.example", "Back", "(Verse 9, Abc)",
     "The commentator of X says an error crept into line 559 because the template of the metre was misread.", "Verse 404 was not found in the copy of X; the scribe left the leaf blank and went on with the next canto.",
+    "the x-ray faded after a week and the scholar kept copying the leaves of the book", "None of the poets is named in it; of the old names there were none.", "todo - the grammarian's list\nஅறம் செய விரும்பு என்னும் பாடல்", "அறம் செய விரும்பு என்னும் பழம்பாடல் இது {1} என உரை கூறும்",
     "In X the guards answer that access is denied to the suitor, and he waits 9 days at the gate.", "Sample verses of this kind, says the note, stand on page 9 of the X manuscript.", "என்னும் பக்கம் ஏட்டில் கிடைக்கவில்லை என உரையாசிரியர் குறிப்பிடுகிறார்; மேலும் பல பாடல் வரிகள்",
 ]
 

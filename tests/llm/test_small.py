@@ -100,10 +100,10 @@ def test_pack(spark):
 def test_leaks(spark):
     rnd = random.Random(6)
     vocab = [f"w{i}" for i in range(40)] + ["அறம்", "செய"]
-    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate((5, 10, 14, 30, 30))] + [(9, None)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate((5, 10, 14, 30, 30))] + [(9, None), (10, "உரை " * 12), (11, "a b " * 7)]
     docs = [(100, None), (101, ""), (102, items[1][1]), (103, "x " * 5000 + items[3][1].upper().replace(" ", ", ") + " y" * 9000)]
     w = items[4][1].split()
-    docs += [(104, "*" + "*\n*".join(w[3:13]) + "*"), (105, " ".join(w[3:12])), (106, "q " * 255 + " ".join(w[:10])), (107, " ".join(w[:12]) + " " + items[2][1])]
+    docs += [(104, "*" + "*\n*".join(w[3:13]) + "*"), (105, " ".join(w[3:12])), (106, "q " * 255 + " ".join(w[:10])), (107, " ".join(w[:12]) + " " + items[2][1]), (108, "z " * 33 + "உரை " * 10), (109, "b a " * 6), (110, "உரை " * 9)]
     d = spark.createDataFrame(docs + docs[2:3], "doc_id int, text string")
     i = spark.createDataFrame(items + items[1:2], "item_id int, passage string")
     got = {(r.doc_id, r.item_id): r.n_shared for r in leakage.find_leaks(d, "doc_id", "text", i, "item_id", "passage").collect()}
@@ -118,5 +118,18 @@ def test_leaks(spark):
     assert got == want and (105, 4) not in got and {(102, 1), (103, 3), (104, 4), (106, 4), (107, 2)} <= set(got)
     assert leakage.find_leaks(d.limit(0), "doc_id", "text", i, "item_id", "passage").count() == 0
     assert leakage.find_leaks(d, "doc_id", "text", i.limit(0), "item_id", "passage").count() == 0
-    many = leakage.find_leaks(d, "doc_id", "text", i, "item_id", "passage", block=2)
-    assert {(r.doc_id, r.item_id) for r in many.collect()} == set(want)
+
+
+def test_partitions_miss_next_to_nothing():
+    parts = leakage.partitions(10)
+    assert parts[0][0] == 9 and parts[-1][0] == 18 and parts[0][1] > 1
+    assert all(r == 1 and (1 - 9 / top) ** 32 < 1e-9 or (1 - (9 / top) ** r) ** (32 // r) <= 1e-9 for top, r in parts)
+
+
+def test_classes_close_chains_and_count_strings(spark):
+    groups = lookalikes.classes()
+    assert any({"A", "Α", "А", "Ꭺ"} <= set(g) for g in groups) and max(map(len, lookalikes.PAIRS[0].split())) == 2
+    assert FORM("ஶ்ரீ") == FORM("ஸ்ரீ") == "ஸ்ரீ"
+    n = lookalikes.member_counts([spark.createDataFrame([("ஶ்ரீ ஶ்ரீ",), (None,), ("aа",)], "t string")], groups)
+    assert n["ஶ்ரீ"] == 2 and n["ஸ்ரீ"] == 0 and n["а"] == 1
+    assert lookalikes.representatives(n, [["ஸ்ரீ", "ஶ்ரீ"]]) == {"ஸ்ரீ": "ஶ்ரீ"}
