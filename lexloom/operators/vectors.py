@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2_000  #: query vectors scored at once, the bound of what is broadcast
+BYTES = 1 << 26  #: bytes of query vectors broadcast at once
 
 
 def validate(df: DataFrame, id_col: str, vec_col: str, dim: int, tol: float = 1e-3) -> DataFrame:
@@ -39,39 +39,59 @@ def mean_pool(tokens: str, mask: str):
     return F.transform(total, lambda x: x / n)
 
 
-def topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, k: int = 25, block: int = BLOCK) -> DataFrame:
-    """(query_id, id, score, rank): the k highest cosines of every query against all rows, itself excluded.
+def topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, k: int = 25, own: bool = True) -> DataFrame:
+    """(query_id, id, score, rank): the k highest cosines of every query against all rows; with ``own`` a row is no hit of its own id.
 
-    Queries are scored in blocks of fixed size, each broadcast to the scan; a
-    partition keeps its own k best of a query, so the shuffle carries k rows a
-    partition and query.  Score descending, then id ascending.
+    Query vectors go to the scan by BYTES at a time; a task keeps its k best of a
+    query while it reads, so the shuffle carries k rows a task and query.  Score
+    descending, then id ascending.
     """
-    q = queries.select(F.col(query_col).cast("long").alias("q"), unit(vec_col).alias("v")).dropDuplicates(["q"])
-    n = q.count()
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("v is not null").dropDuplicates(["id"])
-    out = None
-    blocks = max(1, -(-n // block))
+    q = queries.select(F.col(query_col).alias("q"), unit(vec_col).alias("v")).where("v is not null").dropDuplicates(["q"])
+    src = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
+    (q_kind, id_kind), out = (dict(q.dtypes)["q"], dict(src.dtypes)["id"]), None
+    dim, n = q.agg(F.coalesce(F.max(F.size("v")), F.lit(1)), F.count("*")).first()
+    blocks = max(1, -(-n * dim * 8 // BYTES))
     for i in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
-        rows = part.collect()
-        held = src.sparkSession.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64)))
+        rows = part.where(F.size("v") == dim).collect()
+        held = src.sparkSession.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64).reshape(-1, dim)))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, m = np.array(held.value[0], dtype=np.int64), held.value[1]
+            asked, m = held.value
+            names = np.array(asked)
+            best: pd.DataFrame | None = None
+            kth = np.full(len(asked), -np.inf)
             for pdf in batches:
-                if not len(pdf) or not len(ids):
+                pdf = pdf[pdf["v"].map(len) == dim]
+                if not len(pdf) or not len(asked):
                     continue
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                own = pdf["id"].to_numpy()
-                s = np.round(m @ x.T, 6)
-                s[ids[:, None] == own[None, :]] = -np.inf
-                best = np.stack([np.lexsort((own, -r))[:k] for r in s])
-                a = np.repeat(ids, best.shape[1])
-                y = pd.DataFrame({"query_id": a, "id": own[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-                yield y[np.isfinite(y["score"])]
-
-        x = src.mapInPandas(run, "query_id long, id long, score double")
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                fit = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
+                x, ids = x[fit] / norm[fit], pdf["id"].to_numpy()[fit]
+                if not len(ids):
+                    continue
+                for a in range(0, len(asked), 1000):
+                    s = np.round(m[a : a + 1000] @ x.T, 6)
+                    if own:
+                        s[names[a : a + 1000, None] == ids[None, :]] = -np.inf
+                    at = max(0, s.shape[1] - k)
+                    low = np.maximum(kth[a : a + 1000], np.partition(s, at, axis=1)[:, at])
+                    i, j = np.nonzero((s >= low[:, None]) & np.isfinite(s))
+                    if len(i):
+                        more = pd.DataFrame({"q": i + a, "id": ids[j], "score": s[i, j]})
+                        best = more if best is None else pd.concat([best, more])
+                if best is None:
+                    continue
+                best = best.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+                best = best[best.groupby("q").cumcount() < k]
+                full = best.groupby("q")["score"].agg(["size", "min"])
+                full = full[full["size"] >= k]
+                kth[full.index.to_numpy(dtype=np.int64)] = full["min"].to_numpy()
+            if best is not None:
+                yield pd.DataFrame({"query_id": [asked[i] for i in best["q"]], "id": best["id"].to_list(), "score": best["score"].to_numpy()})
+
+        x = src.mapInPandas(run, f"query_id {q_kind}, id {id_kind}, score double")
         out = x if out is None else out.unionByName(x)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)  # type: ignore[union-attr]

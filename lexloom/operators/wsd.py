@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import lexicons as L
-from lexloom.functions.text import clean_sense, script_tokens, stem, strip
+from lexloom.functions.text import clean_sense, fraction_gloss, script_tokens, stem, strip
 from lexloom.session import cut
 
 FAR = 999
@@ -39,9 +39,31 @@ def context_tokens(contexts: DataFrame, first: str = "0B80", last: str = "0BFA")
 
 
 def signals(ctx: DataFrame) -> DataFrame:
-    """(query_id, query, quantity, somatic, structural): the least distance of a word of each domain, or null."""
+    """(query_id, query, quantity, somatic, structural, unit): the least distance of a word of each domain, or null, and the nearest quantity's word.
+
+    A word belongs to a domain if it or its stem is in the domain's list; of equal
+    distances the first counts.
+    """
     d = lambda words: F.min(F.when(_in(F.col("tok"), words) | _in(F.col("stem"), words), F.col("dist")))
-    return ctx.groupBy("query_id", "query").agg(d(L.QUANTITY).alias("quantity"), d(L.SOMATIC).alias("somatic"), d(L.FURNITURE).alias("structural"))
+    root = F.when(_in(F.col("tok"), L.QUANTITY), F.col("tok")).when(_in(F.col("stem"), L.QUANTITY), F.col("stem"))
+    unit = F.min(F.when(root.isNotNull(), F.struct("dist", "pos", root.alias("root"))))["root"]
+    return ctx.groupBy("query_id", "query").agg(d(L.QUANTITY).alias("quantity"), d(L.SOMATIC).alias("somatic"), d(L.FURNITURE).alias("structural"), unit.alias("unit"))
+
+
+def gloss(query: Column, definition: Column, flags: Column, quantity: Column, somatic: Column, structural: Column, unit: Column) -> Column:
+    """The chosen sense as it is shown: a fraction beside a near unit, a part of the body or of furniture beside such a word, else as it is."""
+    clean = clean_sense(definition)
+    prefixed = lambda start, prefix: F.when(F.startswith(clean, F.lit(start)), clean).otherwise(F.concat(F.lit(prefix), clean))
+    return (
+        F.when(flags["fraction"] & (quantity <= 2), fraction_gloss(query, unit, definition)).when(flags["anatomy"] & (somatic <= 3), prefixed(L.BODY_START, L.BODY_PREFIX))
+        .when(flags["furniture"] & (structural <= 3), prefixed(L.SUPPORT_START, L.SUPPORT_START + " — ")).otherwise(clean)
+    )
+
+
+def domain_flags(definition: str) -> Column:
+    """``struct<fraction, anatomy, furniture>``: whether a definition holds a word of a domain (a token or stem that is one is held too)."""
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col(definition), w))
+    return F.struct(has((*L.FRACTION_SENSE, "1/4", "1/2", "3/4", "1/8", "\\frac")).alias("fraction"), has(L.ANATOMY_SENSE).alias("anatomy"), has(L.FURNITURE_SENSE).alias("furniture"))
 
 
 def candidate_terms(cands: DataFrame) -> DataFrame:
@@ -93,18 +115,9 @@ def scores(contexts: DataFrame, cands: DataFrame, syn: DataFrame | None = None,
     """(query_id, query, cand, definition, score, domain) of the candidates (query_id, query, cand, definition)."""
     c = cut(cands.withColumn("definition", strip("definition")).where("definition <> ''"), "senses")
     ctx = prepare(contexts) if ctx is None else ctx
-    has = lambda words: F.lit(False) if not words else eval_or([F.contains("definition", F.lit(w)) for w in words])
-
-    def eval_or(xs: list[Column]) -> Column:
-        out = xs[0]
-        for y in xs[1:]:
-            out = out | y
-        return out
-
-    x = c.join(overlap(ctx, c, syn), ["query_id", "query", "cand"], "left").join(signals(ctx), ["query_id", "query"], "left")
-    frac = has((*L.FRACTION_SENSE, "1/4", "1/2", "3/4", "1/8", "\\frac"))
+    x = c.join(overlap(ctx, c, syn), ["query_id", "query", "cand"], "left").join(signals(ctx), ["query_id", "query"], "left").withColumn("flags", domain_flags("definition"))
     boost = lambda ok, d: F.when(ok & d.isNotNull(), F.when(d == 1, 35.0).when(d <= 3, 20.0 / d).otherwise(5.0 / d)).otherwise(0.0)
-    q, a, f = boost(frac, F.col("quantity")), boost(has(L.ANATOMY_SENSE), F.col("somatic")), boost(has(L.FURNITURE_SENSE), F.col("structural"))
+    q, a, f = boost(F.col("flags.fraction"), F.col("quantity")), boost(F.col("flags.anatomy"), F.col("somatic")), boost(F.col("flags.furniture"), F.col("structural"))
     s = q + a + f + F.coalesce("overlap", F.lit(0.0))
     s = F.when(s > 0, s + 0.05 / (1 + F.log(F.greatest(F.length("definition"), F.lit(1)).cast("double")))).otherwise(s)
     domain = F.when((q > 0) & (q >= a) & (q >= f), "fraction").when((a > 0) & (a >= f), "anatomy").when(f > 0, "furniture").otherwise("")
@@ -133,5 +146,8 @@ def decide(contexts: DataFrame, cands: DataFrame, syn: DataFrame | None = None)
     x = x.withColumn("status", status)
     chosen = F.col("status").isin("selected", "single_sense")
     conf = F.when(F.col("status") == "single_sense", "medium").when(F.col("status") == "selected", F.when(top >= 20, "high").when(top >= 5, "medium").otherwise("low")).when(F.col("cand").isNull() | F.col("status").isin("no_context"), "none").otherwise("low")
+    x = x.join(signals(ctx), ["query_id", "query"], "left").withColumn("flags", domain_flags("definition"))
+    shown = gloss(F.col("query"), F.col("definition"), F.col("flags"), F.col("quantity"), F.col("somatic"), F.col("structural"), F.col("unit"))
+    sense = F.when(F.col("status") == "selected", shown).when(chosen, clean_sense("definition"))
     score = F.when(F.col("status") == "single_sense", 1.0).otherwise(F.coalesce(top, F.lit(0.0)))
-    return x.select("query_id", "query", "status", conf.alias("confidence"), F.when(chosen, F.col("cand")).alias("cand"), score.alias("score"), F.when(chosen, clean_sense("definition")).alias("sense"))
+    return x.select("query_id", "query", "status", conf.alias("confidence"), F.when(chosen, F.col("cand")).alias("cand"), score.alias("score"), sense.alias("sense"))

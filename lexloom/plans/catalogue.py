@@ -13,7 +13,7 @@ from lexloom.functions import lexicons as L
 from lexloom.functions import text as T
 from lexloom.functions.udfs import highlight_offsets, transliterate
 from lexloom.operators import answer, evaluate, index, rank, vectors, wsd
-from lexloom.operators.evidence import Engine, gate, ranked, summary, support
+from lexloom.operators.evidence import Engine, gate, lookup_definitions, lookup_wordnet, ranked, summary, support
 from lexloom.session import cut, read, spread
 
 TOPK, TAU = 25, 0.25
@@ -369,14 +369,21 @@ def index_parity(spark, d):
 # ---- the evidence engine --------------------------------------------------
 
 
+def _analyses(spark, d) -> DataFrame:
+    """Lemmas come from the stemmer."""
+    words = read(spark, d, "verse_tokens").select("token").where("token <> ''").distinct().withColumn("lemma", T.stem("token"))
+    return words.where("lemma <> token").select(F.col("token").alias("surface"), "lemma", F.lit("suffix").alias("model"), F.lit(None).cast("string").alias("tags"))
+
+
+def _made(spark, d, **more) -> Engine:
+    t = {n: read(spark, d, n) for n in ("definitions", "verse_tokens", "verses", "chunks")}
+    return Engine(t["definitions"], t["verse_tokens"], t["verses"], t["chunks"], _analyses(spark, d), **more)
+
+
 def _engine(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Evidence for every token of the held-out queries; lemmas come from the stemmer."""
-    tokens = read(spark, d, "verse_tokens")
-    words = tokens.select("token").where("token <> ''").distinct().withColumn("lemma", T.stem("token"))
-    analyses = words.where("lemma <> token").select(F.col("token").alias("surface"), "lemma", F.lit("suffix").alias("model"), F.lit(None).cast("string").alias("tags"))
+    """Evidence for every token of the held-out queries."""
     q = _terms(spark, d).withColumnRenamed("term", "query")
-    e = Engine(read(spark, d, "definitions"), tokens, read(spark, d, "verses"), read(spark, d, "chunks"), analyses)
-    return q, e.search(q)
+    return q, _made(spark, d).search(q)
 
 
 _EV = f"""
@@ -443,6 +450,97 @@ def short_circuit_decision(spark, d):
     return gate(e, q)
 
 
+_GATE = """g as (select query, count_if(resource = 'corpus')::bigint c, count_if(resource in ('verses', 'corpus'))::bigint l, count_if(resource = 'definitions')::bigint x, count_if(resource = 'morphology')::bigint m
+  from ded where status = 'FOUND' group by 1),
+go as (select q.query from q left join g using (query) where not (coalesce(c, 0) >= 25 or (coalesce(l, 0) >= 10 and (coalesce(x, 0) > 0 or coalesce(m, 0) > 0))))"""
+_UNIT = "list_transform(vector, lambda x: x::double / sqrt(list_dot_product(vector::double[], vector::double[])))"
+
+
+def _query_vectors(spark, d, q: DataFrame) -> DataFrame:
+    """(query_id, vec): the vector of the first unit that holds the query's word stands for a model's."""
+    hits = index.term_lookup(_pos(spark, d), q.select("query_id", F.col("query").alias("term")), 1).select("query_id", F.col("id").alias("chunk_id"))
+    meta = read(spark, d, "madurai_semantic_meta").select("chunk_id", "vector_index").join(hits, "chunk_id").groupBy("query_id").agg(F.min("vector_index").alias("vector_index"))
+    v = _good_vectors(spark, d).groupBy("vector_index").agg(F.max("vector").alias("vec"))
+    return meta.join(v, "vector_index").select("query_id", "vec")
+
+
+def _good_vectors(spark, d) -> DataFrame:
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x))
+    return spread(read(spark, d, "madurai_vectors")).where(F.size("vector") == 384).where(~bad).where(F.exists("vector", lambda x: x != 0))
+
+
+@query(_EV + f""", {_GATE},
+gv as materialized (select vector_index, max(vector) vector from madurai_vectors where len(vector) = 384 and len(list_filter(vector, lambda x: x is null or isnan(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by 1),
+me as materialized (select vector_index, unnest(min({{'chunk_id': chunk_id, 'work_name': work_name, 'author': author, 'period': period, 'genre': genre, 'stanza_number': stanza_number}})) from madurai_semantic_meta where chunk_id is not null group by 1),
+cv as materialized (select chunk_id, max(vector) vector from gv join me using (vector_index) group by 1), cn as materialized (select chunk_id, {_UNIT} e from cv),
+fu as (select query, min(id) chunk_id from q join pos on query = token group by 1),
+qv as (select query, min(vector_index) vector_index from fu join madurai_semantic_meta using (chunk_id) group by 1),
+qe as materialized (select query, {_UNIT} e from qv join gv using (vector_index) join go using (query)),
+sc as (select query, chunk_id, round(list_dot_product(qe.e, cn.e), 6) score from qe, cn),
+tk as (select * from sc qualify row_number() over (partition by query order by score desc, chunk_id) <= 25),
+hi as (select * from tk where score >= 0.845), ex as (select query, source_id chunk_id from ded where resource = 'corpus' and status = 'FOUND')
+select hi.query as query_id, hi.chunk_id as source_id, case when ex.query is null then 'semantic' else 'exact' end as retrieval, score from hi left join ex on ex.query = hi.query and ex.chunk_id = hi.chunk_id""")
+def engine_semantic(spark, d):
+    """What the third pass adds: new units, and the scores of units that were there."""
+    q = _terms(spark, d).withColumnRenamed("term", "query")
+    e = _made(spark, d, semantic=(_good_vectors(spark, d), read(spark, d, "madurai_semantic_meta"), _query_vectors(spark, d, q)))
+    return e.search(q).where("score is not null").select("query_id", "source_id", "retrieval", "score")
+
+
+@query("""with q as (select distinct unnest(regexp_extract_all(lower(query), '""" + _TOKENS + """')) query from eval_items), h as (select distinct headword from definitions where meaning is not null and meaning <> '')
+select query as query_id, 'broken' as resource, 'ERROR' as status from q union all select query, 'definitions', case when headword is null then 'NOT_FOUND' else 'FOUND' end from q left join h on query = headword""")
+def engine_errors(spark, d):
+    """A resource that fails gives an error row a query, and the others go on."""
+
+    def broken(keys: DataFrame) -> DataFrame:
+        return lookup_definitions(keys.withColumn("key", F.raise_error(F.lit("out of order")).cast("string")), read(spark, d, "definitions"), "broken")
+
+    q = _terms(spark, d).withColumnRenamed("term", "query")
+    e = Engine(read(spark, d, "definitions"), resources={"broken": broken}).search(q)
+    return e.select("query_id", "resource", "status").distinct()
+
+
+def _wordnet(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables, made of those that are here: entries with their romanised label, first clauses as hypernyms, stems as roots."""
+    f = read(spark, d, "frequency_index").groupBy("word_unicode").agg(F.min("word_raw").alias("raw_label"))
+    x = read(spark, d, "definitions").groupBy("def_id").agg(F.min("headword").alias("headword"), F.min("pos").alias("pos"), F.min("meaning").alias("meaning"))
+    x = x.join(f, F.col("headword") == F.col("word_unicode"), "left")
+    twn = x.select(F.col("def_id").alias("nodeindex"), F.col("headword").alias("unicode_label"), "raw_label", "pos")
+    senses = x.where("meaning <> ''").select(F.col("def_id").alias("id"), F.col("headword").alias("unicode_label"), F.lit(None).cast("string").alias("raw_label"), "pos", F.split("meaning", ";")[0].alias("hypernym"))
+    morph = _analyses(spark, d).select(F.col("surface").alias("inflated_unicode"), F.lit(None).cast("string").alias("inflated_raw"), F.col("lemma").alias("root_unicode"))
+    return twn, senses, morph, read(spark, d, "frequency_index")
+
+
+def _word_keys(spark, d) -> DataFrame:
+    """Words of the held-out queries and the romanised words of the frequency list."""
+    raw = read(spark, d, "frequency_index").select(F.col("word_raw").alias("key")).where("key is not null")
+    q = _terms(spark, d).select(F.col("term").alias("key")).union(raw).distinct()
+    return q.select(F.col("key").alias("query_id"), F.col("key").alias("query"), F.lit(1).alias("pass"), "key")
+
+
+@query(f"""
+with f as (select word_unicode, min(word_raw) raw from frequency_index group by 1), x as (select def_id, min(headword) headword, min(pos) pos, min(meaning) meaning from definitions group by 1),
+tw as (select x.*, raw from x left join f on headword = word_unicode), se as (select def_id id, headword, pos spos, string_split(meaning, ';')[1] hyper from x where meaning <> ''),
+k as (select distinct k from (select unnest(regexp_extract_all(lower(query), '{_TOKENS}')) k from eval_items union all select word_raw from frequency_index where word_raw is not null)),
+lx as (select distinct k, def_id, headword, pos from k join (select unnest(list_distinct([headword, raw])) key, * from tw) on k = key where key is not null),
+l1 as (select k, def_id, lx.headword, hyper from lx left join se on se.headword = k and (coalesce(lx.pos, '') = '' or spos = lx.pos) qualify row_number() over (partition by k, def_id order by id nulls last) = 1),
+mo as (select distinct k, r from k join (select token, {_stem('token')} r from (select distinct token from verse_tokens where token <> '')) on k = token and r <> token),
+al as (select k, headword lemma, hyper meaning, 'wordnet:twn:' || def_id source_id, 'lexical' kind from l1 union all select k, r, null, 'wordnet:morph:' || r, 'morphology' from mo)
+select k as query_id, lemma, meaning, source_id, kind as evidence_type from al union all select k, k, null, 'wordnet:freq:' || k, 'frequency' from k join (select distinct word_unicode from frequency_index) on k = word_unicode where k not in (select k from al)
+""")
+def wordnet_lookup(spark, d):
+    return lookup_wordnet(_word_keys(spark, d), *_wordnet(spark, d)).select("query_id", "lemma", "meaning", "source_id", "evidence_type")
+
+
+@query(f"""with q as (select term k from {_TERMS}), d as (select distinct word_unicode, word_raw from frequency_index where word_raw <> '')
+select k as query_id, word_raw as meaning, 'dictionary:' || k as source_id from q join d on k = word_unicode""")
+def dictionary_lookup(spark, d):
+    """A second dictionary under the same contract: here the romanised forms of the words."""
+    f = read(spark, d, "frequency_index").select(F.col("word_unicode").alias("headword"), F.col("word_raw").alias("meaning"), F.col("word_unicode").alias("def_id"))
+    keys = _terms(spark, d).select("query_id", F.col("term").alias("query"), F.lit(1).alias("pass"), F.col("term").alias("key"))
+    return lookup_definitions(keys, f, "dictionary").select("query_id", "meaning", "source_id")
+
+
 @query(_EV + """, s as (select query, surface, source_id, resource, coalesce(work, '') work, n, row_key, (case when contains(ded.passage, query) then 10 else 0 end) + (case when length(trim(ded.passage)) > 10 then 5 else 0 end) + (case when coalesce(work, '') <> '' then 3 else 0 end) + (case when coalesce(period, '') <> '' then 2 else 0 end) score
   from ded join (select chunk_id, any_value(work) work, any_value(period) period from chunks group by 1) c on ded.source_id = c.chunk_id where resource = 'corpus' and status = 'FOUND'),
 w as (select *, row_number() over (partition by query, work order by score desc, source_id) g from s)

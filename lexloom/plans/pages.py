@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lexloom.operators import index
 from lexloom.plans.catalogue import _TOKENS, _strip, query
-from lexloom.session import read, shared_dir, spread
+from lexloom.session import read, scratch, spread
 from lexloom.sources import pages
 from lexloom.streaming.refresh import maintain
 
@@ -40,7 +38,15 @@ def stanza_units(spark, d):
     return pages.stanzas(t, "doc_id", "text").select(F.col("id").alias("doc_id"), "stanza_number", "verse_number", "canto", "original_text")
 
 
-@query(f"select token, count(*) as n_tokens, count(distinct chunk_id) as n_units from (select chunk_id, unnest(regexp_extract_all(lower(normalized_text), '{_TOKENS}')) token from (select * from chunks qualify row_number() over (partition by chunk_id order by loaded_at desc) = 1)) group by 1")
+_NEWEST = "(select * from chunks qualify row_number() over (partition by chunk_id order by loaded_at desc, normalized_text desc) = 1)"
+
+
+@query(f"select token, count(*) as n_tokens, count(distinct chunk_id) as n_units from (select chunk_id, unnest(regexp_extract_all(lower(normalized_text), '{_TOKENS}')) token from {_NEWEST}) group by 1")
 def index_refresh_stream(spark, d):
-    pos = maintain(spark, f"{d}/chunks.parquet", f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "chunk_id", "normalized_text", "loaded_at")
-    return index.token_stats(pos)
+    """The units arrive in three micro-batches, the newest first, so rows that come later must not replace newer ones."""
+    units = spread(read(spark, d, "chunks").select("chunk_id", "normalized_text", "loaded_at"))
+    a, b = units.agg(F.percentile_approx("loaded_at", F.array(F.lit(0.33), F.lit(0.66)))).first()[0]
+    source, files = scratch(spark, "arriving"), spark.sparkContext.defaultParallelism
+    for part in (F.col("loaded_at") > b, (F.col("loaded_at") > a) & (F.col("loaded_at") <= b), F.col("loaded_at") <= a):
+        units.where(part).repartition(files).write.mode("append").parquet(source)
+    return index.token_stats(maintain(spark, source, scratch(spark, "index"), "chunk_id", "normalized_text", "loaded_at", files))

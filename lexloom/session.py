@@ -46,13 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        pass
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a file system Spark knows; an error is raised, so that a full shared folder is noticed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
+    return path
 
 
 def ship(spark: SparkSession) -> None:
@@ -73,15 +79,13 @@ class Cut:
 
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
-        self._spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._spark, self.path = spark, scratch(spark, name)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        if not _written:
-            atexit.register(_sweep)
-        _written.append((spark, self.path))
 
     def drop(self) -> None:
-        _remove(self._spark, self.path)
+        remove(self._spark, self.path)
+        _written.remove((self._spark, self.path))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -91,7 +95,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def _sweep() -> None:
     for spark, path in _written:
-        _remove(spark, path)
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone; the folder is left to who ended it
+            return
 
 
 def spread(df: DataFrame) -> DataFrame:
