@@ -1,12 +1,15 @@
 """Problem 5: clean text from HTML, Markdown, wiki and LaTeX sources.
 
-HTML is parsed into a tree (broken tags included).  For whole pages the body of
-the text is found by composite text density: for every node the characters per
-tag, adjusted by how much of them are links; the densities of the children are
-summed, the node with the largest sum is the centre of the text, and nodes below
-the least density on its path to the body are left out.  Fragments, which hold
-no page around the text (no html, head or body, and no declaration of one), are
-kept whole, however many tags they have.
+HTML is parsed into a tree (broken tags included); a text holds HTML if the tree
+has an element or an end of one.  The body is found by composite text density:
+for every node the characters per tag, adjusted by how much of them are links;
+the densities of the children are summed, and the subtree of the largest sum is
+kept whole.  What lies outside it is kept if its density reaches the least on
+the path from there to the root, or if it holds text without links.  This goes
+for whole pages and fragments alike: where the text of a fragment stands under
+its root, the largest sum is the root's and nothing is left out.  The root of a
+page (with html, head or body, or declared as one) holds the page round the text
+as well, so even where its sum is the largest its children must pass.
 
 The clean form keeps structure in plain signs: a heading is a paragraph of its
 own, a list item a line that starts with a bullet or its number, a code block is
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.markup_kinds import BROKEN, COMMENT, TAG, TAGS, kinds
+from lexloom.llm.markup_kinds import BROKEN, COMMENT, ENTITY, HINT, TAG, TAGS, others
 from lexloom.session import read, spread
 
 _BLOCK = set("address article aside blockquote body center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul poem gallery".split())
@@ -54,11 +57,13 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("body", None)
+        self.seen = 0  # elements, ends of elements, comments and declarations
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in _KNOWN:
             self.at.kids.append(self.get_starttag_text() or "")
             return
+        self.seen += 1
         if tag in ("html", "body"):
             return
         over = _CLOSES.get(tag)
@@ -71,11 +76,13 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _KNOWN:
+            self.seen += 1
             self.at.kids.append(Node(tag, self.at))
         else:
             self.at.kids.append(self.get_starttag_text() or "")
 
     def handle_endtag(self, tag: str) -> None:
+        self.seen += tag in _KNOWN
         n = self.at
         while n is not None and n.tag != tag:
             n = n.up
@@ -120,24 +127,22 @@ def densities(root: Node) -> None:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node))
 
 
-def body_text(root: Node) -> None:
-    """Takes away what lies below the least density on the path from the centre to the body."""
+def body_text(root: Node, page: bool) -> None:
+    """Takes away what lies outside the subtree of the largest sum of densities and below the least density on its path to the root."""
     densities(root)
-    nodes = [n for n in _post_order(root) if n.tag not in _DROP]
-    centre = max(nodes, key=lambda n: n.total)
+    centre = max((n for n in _post_order(root) if n.tag not in _DROP), key=lambda n: (n.total, n is root))
+    path: set[int] = set()
     least, n = centre.density, centre
     while n is not None:
+        path.add(id(n))
         least, n = min(least, n.density), n.up
-    inside: set[int] = set()
-    n = centre
-    while n is not None:
-        inside.add(id(n))
-        n = n.up
     stack = [root]
     while stack:
         n = stack.pop()
-        n.kids = [k for k in n.kids if isinstance(k, str) or id(k) in inside or k.density >= least or k.tag not in _BLOCK or (k.chars and not k.link_chars)]
-        stack += [k for k in n.kids if isinstance(k, Node)]
+        if n is centre and not (page and n is root):
+            continue
+        n.kids = [k for k in n.kids if isinstance(k, str) or id(k) in path or k.density >= least or k.tag not in _BLOCK or (k.chars and not k.link_chars)]
+        stack += [k for k in n.kids if isinstance(k, Node) and id(k) in path]
 
 
 class Store:
@@ -210,25 +215,28 @@ def _render(root: Node, store: Store) -> str:
     return "".join(out)
 
 
-_PAGE = re.compile(r"<(?:html|body|head)\b", re.I)
-_DECLARED = re.compile(r"\s*(?:<\?xml\b[^>]*>\s*)?<!doctype\s+html\b", re.I)
+_PAGE = re.compile(r"<(?:html|body|head)\b|\A\s*(?:<\?xml\b[^>]*>\s*)?<!doctype\s+html\b", re.I)
+_LESS = re.compile(r"<(?![/!?]?[A-Za-z])")
+_REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.I | re.S)
 
 
-def from_html(t: str, store: Store) -> str:
-    declared = _DECLARED.match(t)
-    t = COMMENT.sub("", t)
-    t = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", "", t, flags=re.I | re.S)
-    if not TAG.search(t):
-        return BROKEN.sub("", t)
+def parse(t: str) -> Tree | None:
+    """The tree of a text that holds HTML; null for others."""
+    if "<" not in t and ">" not in t:
+        return None
     tree = Tree()
-    tree.feed(re.sub(r"<(?![/!?]?[A-Za-z])", "&lt;", t))
+    tree.feed(_LESS.sub("&lt;", _REF.sub("", COMMENT.sub("", t))))
     rest = tree.rawdata  # what the parser holds back at an unclosed tag
     if rest:
         tree.at.kids.append(BROKEN.sub("", rest))
-    root = tree.root
-    if declared or _PAGE.search(t):
-        body_text(root)
-    return BROKEN.sub("", _render(root, store))
+    return tree if tree.seen or TAG.search(t) or BROKEN.search(t) or COMMENT.search(t) else None
+
+
+def from_html(tree: Tree, t: str, store: Store) -> str:
+    if not tree.seen:
+        return BROKEN.sub("", _REF.sub("", COMMENT.sub("", t)))
+    body_text(tree.root, _PAGE.search(t) is not None)
+    return BROKEN.sub("", _render(tree.root, store))
 
 
 _SIMPLE = re.compile(r"\\(?:emph|text\w*|underline|mbox|mathrm|mathbf|footnote|caption|title|author|uppercase|lowercase|enquote)\*?\s*(?:\[[^\]\n]*\])?\{([^{}]*)\}")
@@ -308,20 +316,30 @@ def from_markdown(t: str, store: Store) -> str:
     return re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", t)
 
 
+def kinds(t: str | None) -> list[str]:
+    """The kinds of markup in a text: html, entity, markdown, wiki, latex."""
+    if not t or not HINT.search(t):
+        return []
+    return ["html"] * (parse(t) is not None) + ["entity"] * ("&" in t and ENTITY.search(t) is not None) + others(t)
+
+
 def clean(t: str | None) -> tuple[list[str], str | None]:
     """(kinds of markup, clean text)."""
-    found = kinds(t)
-    if not found or t is None:
+    if not t or not HINT.search(t):
+        return [], t
+    tree = parse(t)
+    found = ["html"] * (tree is not None) + ["entity"] * ("&" in t and ENTITY.search(t) is not None) + others(t)
+    if not found:
         return [], t
     store = Store()
     t = t.replace("\r\n", "\n").replace("\r", "\n").replace("\ue000", "").replace("\ue001", "").replace("\ue002", "")
     if "markdown" in found:  # fences first: what they hold is no markup
         t = re.sub(r"^ {0,3}(```+|~~~+)[^\n`]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", lambda m: _code(store, m[2]), t, flags=re.M | re.S)
     for _ in range(3):  # escaped markup shows itself only after its entities are resolved
-        now = kinds(t)
-        if "html" in now:
-            t = from_html(t, store)
-        elif "entity" in now:
+        tree = parse(t)
+        if tree is not None:
+            t = from_html(tree, t, store)
+        elif "&" in t and ENTITY.search(t):
             t = html.unescape(t)
         else:
             break

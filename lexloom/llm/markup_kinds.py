@@ -31,33 +31,24 @@ ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,3
 MARKDOWN = re.compile(
     r"!?\[[^\[\]\n]*\]\((?:<[^<>\n]*>|[^()\s]+)(?:\s+[\"'][^\"'\n]*[\"'])?\)|!?\[[^\[\]\n]+\]\[[^\[\]\n]*\]|^ {0,3}\[[^\[\]\n]+\]:\s*\S+"
     r"|(?<![*\w\\])\*\*(?=[^\s*])[^\n]*?[^\s*]\*\*(?!\*)|(?<![_\w\\])__(?=[^\s_])[^\n]*?[^\s_]__(?![_\w])|(?<![*\w\\])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![*\w])|(?<![*\w\\])\*[^\s*]\*(?![*\w])|(?<![_\w\\])_(?=[^\s_])[^_\n]*[^\s_]_(?![_\w])"
-    r"|(?<![*\w\\])\*{3}(?=[^\s*])[^*\n]+?[^\s*]\*{3}(?!\*)|(?<![*\w\\])\*{1,3}(?=[^\s*])[^*\n]*[^\s*]\*{1,4}(?![*\w])|~~(?=\S)[^~\n]+~~|^ {0,3}(?:```|~~~)|`[^`\n]+`|^ {0,3}#{1,6}[ \t]+\S|^[^\n]+\n(?:={3,}|-{3,})[ \t]*$|^ {0,3}>[ \t]*\S|^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
+    r"|(?<![*\w\\])\*{3}(?=[^\s*])[^*\n]+?[^\s*]\*{3}(?!\*)|(?<![*\w\\])\*{1,3}(?=[^\s*])[^*\n]*[^\s*]\*{1,4}(?![*\w])|~~(?=\S)[^~\n]+~~|^ {0,3}(?:```|~~~+[\w.+\-]*[ \t]*$)|`[^`\n]+`|^ {0,3}#{1,6}[ \t]+(?!\d+[ \t]*$)\S|^[^\n]+\n(?:={3,}|-{3,})[ \t]*$|^ {0,3}>[ \t]*(?!\d)\S|^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
     r"|^ {0,3}[*+\-][ \t]+\[[ xX]\][ \t]|^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$|^(?:[ \t]*[*+\-][ \t]+[^\n]*\S[^\n]*(?:\n|$)){2,}",
     re.M,
 )
 WIKI = re.compile(
     r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|\{\{[^{}]+\}\}|^\{\||^\|[}\-]|'''?(?=[^\s'])[^'\n]+'''?|^(={1,6})[ \t]*[^=\n]+?[ \t]*\1[ \t]*$|\[(?:https?|ftp)://[^\s\]]+(?:[ \t][^\]\n]*)?\]"
-    r"|^[*#:;]{2,}[ \t]*\S|^[:;][ \t]*\S|^(?:[#*][ \t]+[^\n]*(?:\n|$)){2,}|^-{4,}[ \t]*$|__[A-Z]{3,}__|~{3,5}|^#(?:REDIRECT|redirect)\b|^#[ \t]+\S",
+    r"|^[*#:;]{2,}[ \t]*\S|^:[ \t]*\S|^;[ \t]*[^\s:][^\n:]*(?::|\n[:;])|^(?:[#*][ \t]+[^\n]*(?:\n|$)){2,}|^-{4,}[ \t]*$|__[A-Z]{3,}__|(?<!~)~{3,5}[ \t]*$|^#(?:REDIRECT|redirect)\b|^#[ \t]+(?!\d+[ \t]*$)\S",
     re.M,
 )
 LATEX = re.compile(
-    r"\\(?:begin|end)\s*\{[^{}\n]*\}|\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{|\{\\[A-Za-z]+\b|\\[A-Za-z]{3,}\b|\\(?:item|par|noindent|newline|newpage|hline|centering|bf|it|em|sc|tt|rm|large|small|ldots|dots|quad|qquad|hfill|indent|maketitle|alpha|beta|gamma|frac|times|cdot|sqrt|sum|int|leq|geq|neq|infty|pm|to)\b"
+    r"\\(?:begin|end)\s*\{[^{}\n]*\}|\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{|\{\\[A-Za-z]+\b|(?<![\w:\\])\\[A-Za-z]{3,}\b|(?<![\w:\\])\\(?:item|par|noindent|newline|newpage|hline|centering|bf|it|em|sc|tt|rm|large|small|ldots|dots|quad|qquad|hfill|indent|maketitle|alpha|beta|gamma|frac|times|cdot|sqrt|sum|int|leq|geq|neq|infty|pm|to)\b"
     r"|\\\\(?:\[[^\]\n]*\])?\s*$|\\[(\[][^\n]+?\\[)\]]|\$\$[^$]+\$\$|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n\\^_{=+]*[\\^_{=+])[^$\n]+(?<=[^\s$])\$(?![\w$])|\\[&%#_{}$](?=\W|\w)|``[^`'\n]+''|\\(?:,|;|!|-)(?=\s|\w)",
     re.M,
 )
 HINT = re.compile(r"[<>&*_`#=|\[\]{}\\$~'\-+:;]")
 
 
-def kinds(t: str | None) -> list[str]:
-    """The kinds of markup in a text: html, entity, markdown, wiki, latex."""
-    if not t or not HINT.search(t):
-        return []
-    out = []
-    if "<" in t or ">" in t:
-        if TAG.search(t) or BROKEN.search(t) or COMMENT.search(t):
-            out.append("html")
-    if "&" in t and ENTITY.search(t):
-        out.append("entity")
+def others(t: str) -> list[str]:
+    """The kinds of markup that are no HTML: markdown, wiki, latex."""
     t = t.replace("\r\n", "\n").replace("\r", "\n")
-    out += [k for k, p in (("markdown", MARKDOWN), ("wiki", WIKI), ("latex", LATEX)) if p.search(t)]
-    return out
+    return [k for k, p in (("markdown", MARKDOWN), ("wiki", WIKI), ("latex", LATEX)) if p.search(t)]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lexloom.llm import markup, near_duplicates, nearest_vectors, subjects
-from lexloom.llm.markup_kinds import kinds
+from lexloom.llm.markup import kinds
 
 
 def _texts(seed, n):
@@ -143,7 +143,7 @@ MARKED = {
     "Head\n====": "markdown", "> q": "markdown", "[t](https://x.example/a)": "markdown", "![a](/i.png)": "markdown", "- a\n- b": "markdown", "|a|b|\n|---|---|": "markdown", "~~x~~": "markdown", "== h ==": "wiki", "[[a|b]]": "wiki", "{{verse|a|no=1}}": "wiki", "'''b'''": "wiki", "{|\n|-\n| a\n|}": "wiki",
     ":: x": "wiki", "\\emph{a}": "latex", "\\begin{verse}\nx\n\\end{verse}": "latex", "{\\bf the} x": "latex", "$\\frac{1}{8}$": "latex", "a \\\\\nb": "latex", "\\section*{x}": "latex",
 }
-PLAIN = [None, "", "#63 x", "a < b : c", "ascendant > solstice in rank", "debt & tribunal", "see tense* and tense", "cycle #2, constellation [obs.]", "deity costing 5 $ and canopy", "clause 3 * 4 or particle_ii", "220. கொபதி", "x — y", "voyage -- barter", "[Back]", "பண் - x", "a: desk@b.example", "(Verse 9, x)"]
+PLAIN = [None, "", "#63 x", "a < b : c", "ascendant > solstice in rank", "debt & tribunal", "see tense* and tense", "cycle #2, constellation [obs.]", "deity costing 5 $ and canopy", "clause 3 * 4 or particle_ii", "220. கொபதி", "x — y", "voyage -- barter", "[Back]", "பண் - x", "a: desk@b.example", "(Verse 9, x)", "; then he left", "> 5 lines missing", "# 12", "C:\\temp\\new", "~~~ a rule"]
 
 
 def test_kinds():
@@ -198,6 +198,27 @@ def test_large_fragments_stay_whole():
     assert "genuine words" in out and "link 3" not in out
 
 
+def test_body_of_fragments_and_pages_by_one_rule():
+    words = "genuine words of the unit "
+    # the text stands under the root: the root is the centre, links and all stay, however many tags there are
+    for bold in (3, 60):
+        part = f"<p>{words * 8}</p>" + "".join(f"<p>{words}<b>w{i}</b></p>" for i in range(bold)) + "<p><a href='/1'>Verse 1</a> <a href='/2'>Verse 2</a></p>"
+        assert "Verse 1 Verse 2" in markup.clean(part)[1] and f"w{bold - 1}" in markup.clean(part)[1]
+    # the text stands in one element beside blocks of links: that element is kept whole, the blocks go
+    inner = f"<div><h2>Head</h2><p>{words * 8}</p><p>{words * 9}</p><p>see <a href='/n'>the note</a></p></div>"
+    nav = "<ul>" + "".join(f"<li><a href='/{i}'>page {i}</a></li>" for i in range(9)) + "</ul>"
+    for wrap in ("{}", "<html><body>{}</body></html>"):
+        out = markup.clean(wrap.format(nav + inner + "<p>a closing line</p>"))[1]
+        assert "Head" in out and "the note" in out and "a closing line" in out and "page 3" not in out
+    # against the definition: the centre has the largest sum, what is dropped has links and a density below the path's least
+    tree = markup.parse(nav + inner)
+    markup.densities(tree.root)
+    nodes = markup._post_order(tree.root)
+    best = max(nodes, key=lambda n: n.total)
+    assert best.tag == "div" and [n.tag for n in nodes if n.up is tree.root and n.density >= min(best.density, tree.root.density)] == ["div"]
+    assert all(abs(n.total - sum(k.density for k in n.kids if not isinstance(k, str))) < 1e-9 for n in nodes)
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([("1", "<b>x</b>", "m"), ("2", None, "n"), ("2", None, "n")], "id string, t string, mk string")
     got = markup.clean_markup(df, "t").collect()
