@@ -11,7 +11,7 @@ some segment the difference is below what was spent on it: with 1 unit the
 segments are equal, with 2 they differ in at most one element.  So every set
 indexes its segments and their one-deletion neighbourhoods, probes its own and
 the lower bands it can reach, and spends its units where the index is cheapest:
-counts of all index keys, folded into a table of fixed size, give the costs, and
+counts of all index keys, folded into a table sized by the sets up to a bound, give the costs, and
 hot segments (empty ones, frequent words) get no units.
 
 Candidates must first agree in a parity sketch carried with the key (its
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lexloom.session import Cut, cut, read, spread
 
 WORDS = r"[\p{L}\p{M}\p{Nd}]+"
-CELLS = 1 << 18  #: counters of index keys, whatever the data
+CELLS = 1 << 18, 1 << 22  #: fewest and most counters of index keys; eight a set between
 BAND = 1.45  #: widest ratio of sizes in a band
 WIDE = 30  #: words from which a set carries a wider sketch
 LEVELS = np.array([85, 170, 340, 680, 1360])  #: sizes at which that sketch doubles
@@ -56,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Bands:
     """Size bands from ``least`` on: highest size and number of segments of each."""
 
-    def __init__(self, t: float, least: int, most: int = 1 << 22):
+    def __init__(self, t: float, least: int, most: int = 1 << 31):
         f = Fraction(t).limit_denominator(1000)
         self.t, self.c = f, (1 - f) / (1 + f)
         lo, hi, m = [], [], []
@@ -203,18 +203,19 @@ _ROW = "key long, id long, m long, w array<bigint>"
 def similar_sets(sets: DataFrame, t: float, min_words: int) -> DataFrame:
     """(a, b, shared, n_a, n_b): all pairs of different sets (of a written table) of similarity ``t`` or more, a < b."""
     bands = Bands(t, min_words)
+    cells = min(CELLS[1], max(CELLS[0], 1 << (8 * sets.count()).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CELLS, np.int64)
+        n = np.zeros(cells, np.int64)
         for rb in batches:
             if rb.num_rows:
                 k, _ = index_keys(Batch(rb.column("elems")), bands)
-                n += np.bincount((k % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                n += np.bincount((k % np.uint64(cells)).astype(np.int64), minlength=cells)
         c = np.nonzero(n)[0]
         yield pa.RecordBatch.from_pydict({"c": pa.array(c.astype(np.int32)), "n": pa.array(n[c])})
 
-    counts = np.zeros(CELLS, np.int64)
-    got = sets.select("elems").mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    counts = np.zeros(cells, np.int64)
+    got = sets.select("elems").mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most a row a counter
     counts[got["c"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lexloom.session import Cut, read
 
 CAPACITY = 4096
-SALTS = 16
+RANKED = 100_000  #: items of one size that are ranked in one task
 
 
 def byte_tokens(text: Column | str) -> Column:
@@ -123,30 +124,43 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY)
 def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, n_pieces, start, size, container) of every item or piece."""
     spark = df.sparkSession
-    x = pieces(df, id_col, text_col, capacity).withColumn("salt", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(SALTS)).cast("int"))
-    t = Cut(x, "pieces").df
+    t = Cut(pieces(df, id_col, text_col, capacity), "pieces").df
+    counts = {r["size"]: r["count"] for r in t.groupBy("size").count().collect()}  # at most ``capacity`` rows
+    # a size of many items is ranked in as many parts as it takes; the parts are at most capacity + items / RANKED
+    hot = [(s, -(-n // RANKED)) for s, n in counts.items() if n > RANKED]
+    many = F.broadcast(spark.createDataFrame(hot, "size int, parts int"))  # at most ``capacity`` rows
+    t = t.join(many, "size", "left").withColumn("salt", F.pmod(F.xxhash64("id", "h", "piece"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     by = t.groupBy("size", "salt").count()
-    counts = {r["size"]: r["n"] for r in by.groupBy("size").agg(F.sum("count").alias("n")).collect()}
-    # One row per run of equal slots: pattern p has `times` containers from `first` on,
-    # `per` slots of this size in each, and the slots start at rank `lo` of the size.
-    rows, taken, first = [], {}, 0
+    # One run per pattern and size: pattern p has `times` containers from `first` on, `per` slots
+    # of this size in each, and the slots start at rank `lo` of the size.
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    taken: dict[int, int] = {}
+    first = 0
     for one, times in patterns(counts, capacity):
         for s in set(one):
             per = one.count(s)
-            lo = taken.get(s, 0)
-            rows.append((s, lo, lo + per * times, first, per))
-            taken[s] = lo + per * times
+            runs.setdefault(s, []).append((taken.get(s, 0), first, per))
+            taken[s] = taken.get(s, 0) + per * times
         first += times
-    slots = spark.createDataFrame(rows, "size int, lo long, hi long, first long, per int") if rows else spark.createDataFrame([], "size int, lo long, hi long, first long, per int")
+    shared = spark.sparkContext.broadcast({s: np.array(r, dtype=np.int64).T for s, r in runs.items()})  # at most a few runs a pattern
     offset = by.select("size", "salt", (F.sum("count").over(Window.partitionBy("size").orderBy("salt")) - F.col("count")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "h", "piece")) - 1
-    ranked = t.withColumn("r", rank).join(F.broadcast(offset), ["size", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
-    # at most capacity x SALTS offsets and capacity x (patterns of a size) slots: both bounded by parameters
-    runs = slots.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "first", "per"))).alias("runs"))
-    run = F.filter("runs", lambda z: (z["lo"] <= F.col("rank")) & (F.col("rank") < z["hi"]))[0]
-    y = ranked.join(F.broadcast(runs), "size").withColumn("run", run)
-    at = y["run"]["first"] + F.floor((F.col("rank") - y["run"]["lo"]) / y["run"]["per"])
-    return y.select(F.col("id").alias(id_col), "piece", "n_pieces", "start", "size", at.cast("bigint").alias("container"))
+    ranked = t.withColumn("r", rank).join(offset, ["size", "salt"]).select("id", "piece", "n_pieces", "start", "size", (F.col("r") + F.col("before")).alias("rank"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.zeros(len(pdf), np.int64)
+            sizes, ranks = pdf["size"].to_numpy(), pdf["rank"].to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            for rows in np.split(order, np.nonzero(np.diff(sizes[order]))[0] + 1) if len(order) else ():
+                lo, start, per = shared.value[int(sizes[rows[0]])]
+                k = np.searchsorted(lo, ranks[rows], side="right") - 1
+                at[rows] = start[k] + (ranks[rows] - lo[k]) // per[k]
+            yield pdf.drop(columns="rank").assign(container=at)
+
+    kind = dict(t.dtypes)["id"]
+    y = ranked.mapInPandas(place, f"id {kind}, piece int, n_pieces int, start int, size int, container long")
+    return y.withColumnRenamed("id", id_col)
 
 
 def _packed(spark, sf_dir: str) -> DataFrame:
@@ -154,7 +168,18 @@ def _packed(spark, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
+    """The texts whose pieces were put into more than one container."""
+    by = _packed(spark, sf_dir).where("n_pieces > 1").groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return by.where("a < b").select("doc_id")
+
+
+def p8_audit(spark, sf_dir: str) -> DataFrame:
+    """What must hold of a packing: every token is in it once, no container is over its capacity, and hardly more are used than needed."""
+    x = _packed(spark, sf_dir)
+    by = x.groupBy("container").agg(F.sum("size").alias("used"))
+    a = by.agg(F.sum("used").alias("tokens"), F.count_if(F.col("used") > CAPACITY).alias("over_capacity"), (F.count("*") <= 1.01 * F.sum("used") / CAPACITY + 2).alias("tight"))
+    b = x.groupBy("doc_id", "piece").agg(F.countDistinct("container").alias("n")).agg(F.count_if(F.col("n") > 1).alias("twice"))
+    return a.crossJoin(b)  # one row each
 
 
 def p8_containers(spark, sf_dir: str) -> DataFrame:
@@ -169,5 +194,8 @@ def p8_fill(spark, sf_dir: str) -> DataFrame:
     return a.withColumn("least_containers", F.ceil(F.col("tokens") / CAPACITY)).withColumn("filled", F.round(F.col("tokens") / F.col("containers") / CAPACITY, 6))
 
 
-SQL = {"p8_found": f"select distinct doc_id from documents where strlen(text) + 1 > {CAPACITY}"}
-QUERIES = {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill}
+SQL = {
+    "p8_found": f"select distinct doc_id from documents where strlen(text) + 1 > {CAPACITY}",
+    "p8_audit": "select sum(strlen(text) + 1)::bigint as tokens, 0::bigint as over_capacity, true as tight, 0::bigint as twice from (select distinct doc_id, text from documents where text is not null)",
+}
+QUERIES = {"p8_audit": p8_audit, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill}

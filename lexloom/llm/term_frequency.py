@@ -98,21 +98,40 @@ def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All rows of a route are in this task; counters of equal terms add up."""
-    trie = BurstTrie()
+    """Rows come sorted by route, so a task holds the trie of one route at a time; counters of equal terms add up."""
+    trie, at = BurstTrie(), None
+
+    def out(trie: BurstTrie) -> pd.DataFrame:
+        rows = [(p + s, *v) for p, held in trie.containers() for s, v in held.items()]
+        return pd.DataFrame(rows, columns=["term", "n_occurrences", "n_records"])
+
+    done: list[pd.DataFrame] = []
+    size = 0
     for pdf in batches:
-        for p, ss, aa, bb in zip(pdf["prefix"], pdf["suffixes"], pdf["occ"], pdf["rec"]):
+        for route, salt, p, ss, aa, bb in zip(pdf["route"], pdf["salt"], pdf["prefix"], pdf["suffixes"], pdf["occ"], pdf["rec"]):
+            if (route, salt) != at:
+                if trie.size:
+                    done.append(out(trie))
+                    size += trie.size
+                trie, at = BurstTrie(), (route, salt)
+                if size >= 10_000:  # small routes leave together
+                    yield pd.concat(done)
+                    done, size = [], 0
             for s, a, b in zip(ss, aa, bb):
                 trie.add(p + s, int(a), int(b))
-    for p, held in trie.containers():
-        yield pd.DataFrame({"term": [p + s for s in held], "n_occurrences": [v[0] for v in held.values()], "n_records": [v[1] for v in held.values()]})
+    if trie.size:
+        done.append(out(trie))
+    if done:
+        yield pd.concat(done)
 
 
 def _splits(terms: DataFrame, route_terms: int, max_split: int) -> list[str]:
     """Prefixes that hold too many terms to be one route.
 
     Terms under a prefix are counted over all tasks' tries; only prefixes over
-    the limit reach the driver, and the limit doubles until they are few enough.
+    the limit reach the driver.  If there are more than ``max_split``, the largest
+    are split and the others stay one route each: none has more terms than the
+    first that was not split, about DEPTH / max_split of all.
     """
     at = F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(DEPTH))))
     n = terms.select("term", at.alias("k")).groupBy(F.substring("term", F.lit(1), F.col("k")).alias("p")).count().where(F.col("count") > route_terms)
@@ -150,7 +169,7 @@ def term_frequency(df: DataFrame, term: str, record: str, occurrence: str) -> Da
     routed = tries.df.mapInPandas(route, "route string, salt int, prefix string, suffixes array<string>, occ array<bigint>, rec array<bigint>")
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return routed.repartition(n, "route", "salt").mapInPandas(_merge, "term string, n_occurrences bigint, n_records bigint")
+    return routed.repartition(n, "route", "salt").sortWithinPartitions("route", "salt").mapInPandas(_merge, "term string, n_occurrences bigint, n_records bigint")
 
 
 def mark_terms(freq: DataFrame, n_records: int, rare: int = 2, common: float = 0.1) -> DataFrame:

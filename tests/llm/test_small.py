@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -81,7 +82,9 @@ def test_patterns_use_everything():
     assert used == Counter(sizes) and bins <= 1.02 * sum(sizes) / 64 + 2
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("ranked", [2, 100_000])
+def test_pack(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     texts = [None, "", "a" * 15, "a" * 16, "அ" * 20, "b" * 7, "b" * 7]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(2, "a" * 15, "x")], "id int, t string, size string")
     got = packing.pack(df, "id", "t", 16).collect()
