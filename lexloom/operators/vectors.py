@@ -25,6 +25,31 @@ def validate(df: DataFrame, id_col: str, vec_col: str, dim: int, tol: float = 1e
     )
 
 
+def validate_artifacts(vectors: DataFrame, items: DataFrame, meta: DataFrame, model_id: str, revision: str, dim: int, tol: float = 1e-3) -> DataFrame:
+    """One row of violations of a stored index; all are 0 if it may be used.
+
+    ``vectors`` (vector_index, vector), ``items`` (vector_index, chunk_id), ``meta``
+    one row (schema_version, model_id, model_revision, dimension, vector_count).
+    """
+    m = meta.agg(
+        F.count_if(F.col("schema_version").isNull()).alias("no_schema_version"), F.count_if(~F.col("model_id").eqNullSafe(F.lit(model_id))).alias("wrong_model"),
+        F.count_if(~F.col("model_revision").eqNullSafe(F.lit(revision))).alias("wrong_revision"), F.count_if(~F.col("dimension").eqNullSafe(F.lit(dim))).alias("wrong_dimension"),
+        (F.count("*") != 1).cast("long").alias("no_metadata"), F.max("vector_count").alias("said"),
+    )
+    i = items.agg(
+        F.count("*").alias("n_items"), F.count_if(F.coalesce("chunk_id", F.lit("")) == "").alias("no_chunk_id"), (F.count("chunk_id") - F.countDistinct("chunk_id")).alias("repeated_chunk_id"),
+        F.countDistinct("vector_index").alias("n_indexes"), F.min("vector_index").alias("low"), F.max("vector_index").alias("high"),
+    )
+    v = validate(vectors, "vector_index", "vector", dim, tol)
+    x = m.crossJoin(i).crossJoin(v)  # one row each
+    gap = ~((F.col("low") == 0) & (F.col("high") == F.col("n_items") - 1) & (F.col("n_indexes") == F.col("n_items")))
+    return x.select(
+        "no_metadata", "no_schema_version", "wrong_model", "wrong_revision", "wrong_dimension", (F.col("n_items") != F.col("n_rows")).cast("long").alias("items_not_vectors"),
+        (~F.col("said").eqNullSafe(F.col("n_rows"))).cast("long").alias("count_not_vectors"), F.coalesce(gap, F.lit(True)).cast("long").alias("not_contiguous"), "no_chunk_id", "repeated_chunk_id",
+        "n_null", "n_wrong_length", "n_not_finite", "n_zero", "n_not_unit", "n_repeated",
+    )
+
+
 def unit(vec_col: str):
     """The vector in double precision, divided by its length."""
     norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda z, x: z + x.cast("double") * x.cast("double")))

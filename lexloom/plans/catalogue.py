@@ -207,7 +207,14 @@ def context_window(spark, d):
     return _lines(spark, d).select("item_id", T.context_window("line", F.col("keys")).alias("shown"))
 
 
-@query()
+_SPANS = f"""with recursive l as (select item_id, line, list_filter(keys, lambda k: trim(k) <> '') keys from {_LINES}),
+h as materialized (select item_id, p - 1 s, max(p - 1 + length(k)) e from (select item_id, line, unnest(keys) k from l), unnest(generate_series(1, length(line))) u(p) where substring(lower(line), p::bigint, length(k)) = lower(k) group by item_id, p),
+n as materialized (select a.item_id, a.s, a.e, min(b.s) nx from h a left join h b on b.item_id = a.item_id and b.s >= a.e group by all),
+r as (select item_id, s, e, nx from (select * from n qualify row_number() over (partition by item_id order by s) = 1) union all select n.item_id, n.s, n.e, n.nx from r join n on n.item_id = r.item_id and n.s = r.nx)
+select item_id, s::int as start, e::int as end from r"""
+
+
+@query(_SPANS)
 def highlight_spans(spark, d):
     """Spans of the query's words in the passage."""
     x = _lines(spark, d).withColumn("passage", F.col("line"))
@@ -286,7 +293,14 @@ def morph_tags(spark, d):
     return x.select("n", T.morphology("raw", "pos", "model").alias("m")).select("n", "m.pos", "m.case", "m.number", "m.tense", "m.analysis_type")
 
 
-@query()
+_PICK = lambda words, at: f"list_filter({_list(words)}, lambda x: starts_with(substring(w, {at}), x))[1]"
+_OF = lambda table, key: f"{_list(table.values())}[list_position({_list(table)}, {key})]"
+
+
+@query(f"""with recursive r as (select distinct word_raw w, 1::bigint i, '' o from frequency_index where word_raw is not null
+  union all select w, i + greatest(length(coalesce(c, '')) + length(coalesce(v, '')), 1), o || case when c is not null then {_OF(L.CONSONANTS, 'c')} || coalesce({_OF(L.SIGNS, 'v')}, '{L.VIRAMA}') when v is not null then {_OF(L.VOWELS, 'v')} else substring(w, i, 1) end
+  from (select *, {_PICK(L.VOWELS, "i + length(coalesce(c, ''))")} v from (select *, {_PICK(L.CONSONANTS, 'i')} c from r where i <= length(w))))
+select w as word_raw, o as word from r where i > length(w)""")
 def transliterate_words(spark, d):
     """Romanised words of the published frequency list in the script."""
     return read(spark, d, "frequency_index").where("word_raw is not null").select("word_raw").distinct().select("word_raw", transliterate("word_raw").alias("word"))
@@ -731,12 +745,12 @@ def wsd_decision(spark, d):
 
 
 def queries() -> dict:
-    from lexloom.plans import pages  # noqa: F401  adds the queries of the build pipeline
+    from lexloom.plans import answers, pages  # noqa: F401  add the queries of answers and of the build pipeline
 
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexloom.plans import pages  # noqa: F401
+    from lexloom.plans import answers, pages  # noqa: F401
 
     return dict(_S)

@@ -64,12 +64,30 @@ def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
     return x.where(F.length("meaning") > 2)
 
 
-def sql_inserts(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """The value tuples of ``INSERT INTO table`` lines of a dump; quotes and NULL as in the dump."""
+def sql_inserts(spark: SparkSession, path: str, table: str, columns: list[str], ints: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """The value tuples of ``INSERT INTO table`` lines of a dump, any number on a line; NULL is null.
+
+    Tuples of fewer than ``least`` values are left out; of the columns named in
+    ``ints`` what is no number is 0.
+    """
     x = spark.read.text(path).where(F.col("value").rlike(rf"(?i)^\s*INSERT\s+INTO\s+[`\"]?{table}[`\"]?\s"))
-    t = F.regexp_extract("value", r"(?i)VALUES\s*\((.*)\);?\s*$", 1)
-    v = F.from_csv(t, ", ".join(f"`{c}` string" for c in columns), {"quote": "'", "escape": "\\", "nullValue": "NULL", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    return x.where(t != "").select(v.alias("v")).select("v.*")
+    # a tuple ends at a bracket that is not inside quotes
+    tuples = F.regexp_extract_all(F.regexp_extract("value", r"(?is)VALUES\s*(.*)$", 1), F.lit(r"\(((?:'(?:[^'\\]|\\.|'')*'|[^'()])*)\)"), F.lit(1))
+    values = lambda t: F.regexp_extract_all(t, F.lit(r"\s*('(?:[^'\\]|\\.|'')*'|[^',]*)\s*(?:,|$)"), F.lit(1))
+    v = x.select(F.explode(tuples).alias("t")).select("t", values(F.col("t")).alias("v"), (F.size(F.filter(F.split(F.regexp_replace("t", r"'(?:[^'\\]|\\.|'')*'", "q"), ","), lambda z: F.lit(True)))).alias("n"))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^'|'$", ""), r"\\(.)", "$1"), "''", "'")
+
+    def one(i: int, name: str) -> Column:
+        c = F.when(F.col("n") > i, F.trim(F.get("v", F.lit(i))))
+        c = F.when(F.upper(c) != "NULL", bare(c))
+        return (F.coalesce(c.try_cast("int"), F.lit(0)) if name in ints else c).alias(name)
+
+    return v.where(F.col("n") >= least).select(*[one(i, c) for i, c in enumerate(columns)])
+
+
+def gold_set(spark: SparkSession, path: str) -> DataFrame:
+    """(query, category, gold_chunk_ids, relevance_rationale) of a JSON array."""
+    return spark.read.schema("query string, category string, gold_chunk_ids array<string>, relevance_rationale string").json(path, multiLine=True).where("query is not null")
 
 
 def verse_json(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -73,10 +73,12 @@ def test_gate_saturates(spark):
     assert sentinels(spark.createDataFrame([("q", "w", 1, "w")], "query_id string, query string, pass int, key string"), e, "corpus").count() == 0
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i == j) + 0.01 * i * j for j in range(4)]) for i in range(1, 12)], "id long, v array<float>")
     q = v.where("id <= 3")
-    big = {(r.query_id, r.rank): r.id for r in vectors.topk(v, "id", "v", q, "id", 5, block=2).collect()}
+    monkeypatch.setattr(vectors, "BYTES", 64)
+    big = {(r.query_id, r.rank): r.id for r in vectors.topk(v, "id", "v", q, "id", 5).collect()}
+    monkeypatch.setattr(vectors, "BYTES", 1 << 26)
     small = {(r.query_id, r.rank): r.id for r in vectors.topk(v.repartition(3), "id", "v", q, "id", 3).collect()}
     assert all(big[k] == small[k] for k in small) and len(big) == 15
     bad = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [3.0, 0.0]), (6, [3.0, 0.0])], "id long, v array<float>")
