@@ -46,6 +46,8 @@ _MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(c
 WORD = re.compile(rf"[\w{re.escape(_MARKS)}]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PROBE = np.arange(1, PROBES + 1, dtype=np.uint64) * _A
+_TIMES = np.arange(64, dtype=np.uint64) * _B
 _SALTS = (np.arange(1, 2 * HASHES, 2, dtype=np.uint64) * _A) | np.uint64(1)
 
 
@@ -114,7 +116,7 @@ def elements(words: np.ndarray, start: np.ndarray, size: np.ndarray, width: int)
         nth = 0
         for j in range(1, int(size[r])):
             nth = nth + 1 if same[r, j - 1] else 0
-            e[r, j] += np.uint64(nth) * _B
+            e[r, j : j + 1] += _TIMES[nth : nth + 1]
     return e
 
 
@@ -152,16 +154,16 @@ class Filter:
 
     @staticmethod
     def probes(keys: np.ndarray, bits: int) -> np.ndarray:
-        return np.stack([_mix(keys ^ (_A * np.uint64(i + 1))) & np.uint64(bits - 1) for i in range(PROBES)], axis=-1)
+        return np.stack([_mix(keys ^ p) & np.uint64(bits - 1) for p in _PROBE], axis=-1)
 
     def __contains__(self, keys) -> bool:
         return bool(self.test(np.array([keys], np.uint64))[0])
 
     def test(self, keys: np.ndarray) -> np.ndarray:
         on = np.ones(keys.shape, bool)
-        for i in range(PROBES):
+        for salt in _PROBE:
             at = np.nonzero(on)
-            p = _mix(keys[at] ^ (_A * np.uint64(i + 1))) & np.uint64(self.bits - 1)
+            p = _mix(keys[at] ^ salt) & np.uint64(self.bits - 1)
             on[at] = (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
         return on
 

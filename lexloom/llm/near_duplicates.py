@@ -296,14 +296,16 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark, sf_dir: str) -> DataFrame:
-    """The group of every unit that has a near copy, with the copies and links of its set."""
+    """The group of every unit that has a near copy, with the copies and links of its set; groups and classes bear their smallest chunk_id."""
     members, links = _units(spark, sf_dir)
-    links = cut(links.select("a", "b"), "near")
-    size = members.groupBy("set").agg(F.countDistinct("chunk_id").alias("n_copies"))
+    members, links = members.distinct(), cut(links.select("a", "b"), "near")
+    size = members.groupBy("set").agg(F.count("*").alias("n_copies"), F.min("chunk_id").alias("class_id"))
     n = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("set")).agg(F.count("*").alias("n_links"))
     roots = components(links).select(F.col("node").alias("set"), "root")
-    x = members.distinct().join(size, "set").join(n, "set", "left").join(roots, "set", "left").where("n_copies > 1 or n_links > 0")
-    return x.select("chunk_id", F.coalesce("root", "set").alias("group_id"), F.col("set").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sets = cut(size.join(n, "set", "left").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), "classes")
+    group = sets.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    x = members.join(sets, "set").join(group, "root").where("n_copies > 1 or n_links > 0")
+    return x.select("chunk_id", "group_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 SQL = {
@@ -314,4 +316,14 @@ j as (select a.chunk_id x, b.chunk_id y, sum(least(a.c, b.c)) s from c a join c
 select x as chunk_a, y as chunk_b from j join n p on p.chunk_id = x join n q on q.chunk_id = y where 10 * s >= 6 * (p.n + q.n - s)
 """
 }
+SQL["p6_groups"] = r"""
+with recursive t as (select distinct chunk_id, normalized_text from chunks), l as (select chunk_id, list_sort(regexp_extract_all(lower(normalized_text), '[\p{L}\p{M}\p{Nd}]+')) ws from t),
+m as materialized (select distinct chunk_id, array_to_string(ws, ' ') k from l where len(ws) >= 12), k as (select k, count(*) n_copies, min(chunk_id) class_id from m group by 1),
+c as (select k, w, count(*) c from (select k, unnest(string_split(k, ' ')) w from k) group by all), n as (select k, sum(c) n from c group by 1),
+j as (select a.k x, b.k y, sum(least(a.c, b.c)) s from c a join c b using (w) where a.k < b.k group by all),
+e as materialized (select x, y from j join n p on p.k = x join n q on q.k = y where 10 * s >= 6 * (p.n + q.n - s)), b as materialized (select x, y from e union select y, x from e),
+r as (select k a, k z from k union select b.x, r.z from r join b on b.y = r.a), g as (select a k, min(class_id) group_id from r join k on k.k = r.z group by 1),
+d as (select x k, count(*) n_links from b group by 1)
+select chunk_id, group_id, class_id, n_copies, coalesce(n_links, 0) as n_links from m join k using (k) join g using (k) left join d using (k) where n_copies > 1 or n_links > 0
+"""
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}

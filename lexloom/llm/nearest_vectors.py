@@ -546,13 +546,14 @@ def p4_neighbours(spark, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select(F.col("v").alias("vector_index"), F.col("n").alias("neighbour"), F.col("rank").cast("int").alias("rank"), F.col("s").alias("cosine"))
 
 
-SQL = {
-    "p4_found": """
+_NEAR = """
 with v as (select vector_index i, any_value(vector)::double[] e from madurai_vectors where len(vector) = 384 and vector_index in (select vector_index from madurai_semantic_meta) group by 1),
 u as (select i, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_dot_product(e, e) > 0),
 s as (select a.i a, b.i b, round(list_dot_product(a.e, b.e), 6) s from u a, u b where a.i <> b.i),
-t as (select * from s qualify row_number() over (partition by a order by s desc, b) <= 5)
-select distinct least(a, b) as vector_a, greatest(a, b) as vector_b from t
+t as (select *, row_number() over (partition by a order by s desc, b) r from s qualify r <= 5)
 """
+SQL = {
+    "p4_found": _NEAR + "select distinct least(a, b) as vector_a, greatest(a, b) as vector_b from t",
+    "p4_neighbours": _NEAR + "select a as vector_index, b as neighbour, r::int as rank, s as cosine from t",
 }
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_search": p4_search}

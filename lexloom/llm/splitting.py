@@ -354,6 +354,15 @@ def p2_pieces(spark, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("chunk_id", n, "stanza_number", "line_range", first.alias("line_from"), last.alias("line_to"), "boundary", "piece_start", "new_start", "piece_end", "text")
 
 
+def p2_cover(spark, sf_dir: str) -> DataFrame:
+    """What must hold of a unit's pieces: together they are its text, none is over the limit, none repeats more than it may."""
+    x = _pieces(spark, sf_dir).withColumn("own", F.expr("substring(text, int(new_start - piece_start + 1))"))
+    by = x.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("new_start", "own"))).alias("p"), F.max(F.length("own")).alias("most"), F.max(F.col("new_start") - F.col("piece_start")).alias("more"))
+    whole = F.regexp_replace(F.array_join(F.transform("p", lambda z: z["own"]), ""), r"[ \t\r\n]+", "")
+    gap = F.transform("p", lambda z: z["new_start"])
+    return by.select("chunk_id", F.md5(whole.cast("binary")).alias("content"), (F.col("most") <= LIMIT).alias("fits"), (F.col("more") <= OVERLAP + LIMIT).alias("bounded"), (F.size(gap) == F.size(F.array_distinct(gap))).alias("once"))
+
+
 _LONGEST = "list_max(list_transform({0}, lambda x: length(regexp_replace(x, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'))))"
 SQL = {
     # a CR LF becomes LF and a blank: as long, and one line end
@@ -365,4 +374,6 @@ select chunk_id, case when b <= {LIMIT} then 'stanza' when c <= {LIMIT} then 'li
 """
 }
 SQL["p2_ranges"] = SQL["p2_found"]
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_ranges": p2_ranges}
+SQL["p2_cover"] = f"""select chunk_id, md5(regexp_replace(t, '[ \\t\\r\\n]+', '', 'g')) as content, true as fits, true as bounded, true as once
+from (select distinct chunk_id, original_text t from chunks) where length(regexp_replace(t, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) > {LIMIT}"""
+QUERIES = {"p2_cover": p2_cover, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_ranges": p2_ranges}
