@@ -244,7 +244,10 @@ def context_window_verses(spark, d):
     return _verse_lines(spark, d).select("verse_id", "token", T.context_window("line", F.col("keys")).alias("shown"))
 
 
-@query()
+_PAIRED = f"(select struct_pack(v := verse_id, t := token) item_id, line, keys from {_VERSE_LINES})"
+
+
+@query(_SPANS.replace(_LINES, _PAIRED).replace("select item_id, s::int as start", "select item_id.v as verse_id, item_id.t as token, s::int as start"))
 def highlight_spans_verses(spark, d):
     """Spans of every word of a verse in its line."""
     x = _verse_lines(spark, d)
@@ -730,18 +733,59 @@ def context_distance(spark, d):
     return wsd.context_tokens(q).select("query_id", "query", "tok", F.col("dist").cast("bigint").alias("dist")).distinct()
 
 
-@query()
+_HOLDS = lambda words: f"len(list_filter({_list(words)}, lambda w: contains(definition, w))) > 0"
+_BOOST = lambda ok, d: f"case when {ok} and {d} is not null then case when {d} = 1 then 35.0 when {d} <= 3 then 20.0 / {d} else 5.0 / {d} end else 0.0 end"
+_LEAST = lambda words: f"min(case when tok in (select unnest({_list(words)})) or stem in (select unnest({_list(words)})) then dist end)"
+_CLAUSE = "string_split(regexp_split_to_array(meaning, '\\.')[1], ';')[1]"
+_SCORES = _WSD + f""",
+se as (select query_id, query, def_id * 100 + i - 1 cand, {_strip('parts[i]')} definition from (select q.query_id, q.query, def_id, string_split(meaning, ';') parts from q join de on q.query = de.headword), unnest(generate_series(1, len(parts))) u(i)),
+sn as materialized (select distinct * from se where definition <> ''),
+tk as materialized (select distinct query_id, query, cand, unnest(regexp_extract_all(definition, '[\\x{{0B80}}-\\x{{0BFA}}]+')) term from sn),
+tc as (select * from tk where term <> query and term not in (select unnest({_list(L.STOPWORDS)})) and length(term) > 1),
+te as materialized (select query_id, query, cand, 'token' kind, term from tc union all select distinct query_id, query, cand, 'stem', {_stem('term')} from tc),
+cn as (select query_id, query, count(distinct cand) n from sn group by all), cf as (select query_id, query, kind, term, count(distinct cand) df from te group by all),
+ti as materialized (select te.*, ln((n + 1.0) / df) + 1.0 idf from te join cf using (query_id, query, kind, term) join cn using (query_id, query)),
+s0 as materialized (select distinct headword word, syn from (select headword, unnest(regexp_extract_all({_CLAUSE}, '[\\x{{0B80}}-\\x{{0BFA}}]+')) syn from definitions where meaning is not null) where syn not in (select unnest({_list(L.STOPWORDS)})) and syn <> headword and length(syn) > 1),
+sy as materialized (select * from s0 union select word, {_stem('syn')} from s0),
+cs as (select distinct c.query_id, c.query, c.pos, c.tok, c.dist, syn from ctx c join sy on sy.word = c.tok or sy.word = c.stem),
+mt as (select c.query_id, c.query, pos, tok, dist, cand, idf, 1 prio, t.term from ctx c join ti t on t.query_id = c.query_id and t.query = c.query and kind = 'token' and t.term = c.tok
+  union all select c.query_id, c.query, pos, tok, dist, cand, idf, 2, t.term from ctx c join ti t on t.query_id = c.query_id and t.query = c.query and kind = 'stem' and t.term = c.stem
+  union all select c.query_id, c.query, pos, tok, dist, cand, idf, case kind when 'token' then 3 else 4 end, t.term from cs c join ti t on t.query_id = c.query_id and t.query = c.query and t.term = c.syn),
+bm as (select * from mt qualify row_number() over (partition by query_id, query, cand, pos order by prio, idf desc, term) = 1),
+ov as (select query_id, query, cand, sum([4.0, 2.5, 2.0, 1.5][prio] * idf * case when dist = 1 then 2.5 when dist <= 3 then 1.5 else 1.0 end * case when prio <= 2 and tok in (select unnest({_list(L.GENUS)})) then 0.4 else 1.0 end) overlap from bm group by all),
+sg as (select query_id, query, count(*) tokens, {_LEAST(L.QUANTITY)} qd, {_LEAST(L.SOMATIC)} sd, {_LEAST(L.FURNITURE)} fd from ctx group by all),
+b1 as (select sn.*, coalesce(overlap, 0) overlap, {_BOOST(_HOLDS((*L.FRACTION_SENSE, '1/4', '1/2', '3/4', '1/8', chr(92) + 'frac')), 'qd')} bq, {_BOOST(_HOLDS(L.ANATOMY_SENSE), 'sd')} ba, {_BOOST(_HOLDS(L.FURNITURE_SENSE), 'fd')} bf
+  from sn left join ov using (query_id, query, cand) left join sg using (query_id, query)),
+sc as materialized (select *, round(case when bq + ba + bf + overlap > 0 then bq + ba + bf + overlap + 0.05 / (1 + ln(greatest(length(definition), 1))) else bq + ba + bf + overlap end, 6) score,
+  case when bq > 0 and bq >= ba and bq >= bf then 'fraction' when ba > 0 and ba >= bf then 'anatomy' when bf > 0 then 'furniture' else '' end dom from b1)
+"""
+
+
+@query(_SCORES + "select query_id, query, cand, score, dom as domain from sc")
 def idf_overlap_score(spark, d):
     """The score of every sense."""
     q, c = _wsd(spark, d)
     return wsd.scores(q, c, wsd.synonyms(read(spark, d, "definitions"))).select("query_id", "query", "cand", "score", "domain")
 
 
-@query()
+@query(_SCORES + """, f1 as (select query_id, query, min(cand) cand from sn group by query_id, query, definition),
+s1 as (select sc.* from sc join f1 using (query_id, query, cand)), rk as (select *, row_number() over w r, lead(score) over w s2, lead(dom) over w d2, count(*) over (partition by query_id, query) n from s1 window w as (partition by query_id, query order by score desc, cand)),
+p as (select q.query_id, q.query, context, cand, score, s2, n, coalesce(tokens, 0) tokens, score - coalesce(s2, 0) gap, dom, d2 from q left join (select * from rk where r = 1) k using (query_id, query) left join sg using (query_id, query)),
+dc as (select *, case when cand is null then 'insufficient_evidence' when trim(coalesce(context, '')) = '' then 'no_context' when tokens = 0 then 'insufficient_evidence' when n = 1 then 'single_sense' when score < 1.0 then 'insufficient_evidence'
+  when s2 is not null and gap < 0.2 and score < 3.0 then 'ambiguous' when s2 is not null and s2 >= 10 and score >= 10 and gap < 3 and dom <> d2 then 'conflicting_signals' else 'selected' end status from p)
+select query_id, query, status, case when status = 'single_sense' then 'medium' when status = 'selected' then case when score >= 20 then 'high' when score >= 5 then 'medium' else 'low' end when cand is null or status = 'no_context' then 'none' else 'low' end as confidence,
+  case when status in ('selected', 'single_sense') then cand end as cand, case when status = 'single_sense' then 1.0 else coalesce(score, 0.0) end as score from dc""")
 def wsd_decision(spark, d):
-    """The chosen sense of every word in context, or why there is none."""
+    """The sense chosen for every word in context, or why there is none."""
+    q, c = _wsd(spark, d)
+    return wsd.decide(q, c, wsd.synonyms(read(spark, d, "definitions"))).select("query_id", "query", "status", "confidence", "cand", "score")
+
+
+@query()
+def wsd_gloss(spark, d):
+    """The sense of every word in context as it is shown."""
     q, c = _wsd(spark, d)
-    return wsd.decide(q, c, wsd.synonyms(read(spark, d, "definitions")))
+    return wsd.decide(q, c, wsd.synonyms(read(spark, d, "definitions"))).where("sense is not null").select("query_id", "query", "sense")
 
 
 def queries() -> dict:
