@@ -314,4 +314,9 @@ dr as ({_RUNS('select * from d')}), ir as ({_RUNS('select * from i')})
 select distinct dr.id as doc_id, ir.id as item_id from dr join ir using (r)
 """
 }
+SQL["p9_leaks"] = f"""
+with d as (select distinct doc_id id, {_form_sql('text')} w from documents where text is not null), i as (select distinct item_id id, {_form_sql('passage')} w from eval_items where passage is not null),
+dr as ({_RUNS('select * from d')}), ir as ({_RUNS('select * from i')}), n as (select id, max(len(w) - {RUN - 1}) n from i group by 1)
+select dr.id as doc_id, ir.id as item_id, count(distinct r) as n_shared, round(count(distinct r)::double / max(n), 6) as containment from dr join ir using (r) join n on n.id = ir.id group by 1, 2
+"""
 QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks}
