@@ -63,6 +63,14 @@ def test_no_link_is_lost_between_sizes_far_apart(spark):
     assert {tuple(sorted((names[r.a], names[r.b]))) for r in links.collect()} == want
 
 
+def test_joins_gather_no_side_at_the_driver(spark, tmp_path):
+    rows = [(f"c{i}", x) for i, x in enumerate(_texts(5, 60))] + [("c60", _texts(5, 60)[3]), ("c0", _texts(5, 60)[0])]
+    spark.createDataFrame(rows, "chunk_id string, normalized_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    for query in (near_duplicates.p6_found, near_duplicates.p6_groups):
+        df = query(spark, str(tmp_path))
+        assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in near_duplicates.components(links).collect()}
