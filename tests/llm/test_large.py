@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import markup, near_duplicates, nearest_vectors, subjects
@@ -131,6 +132,53 @@ def test_ties_of_copies_and_scaled_vectors(spark):
         assert sorted(got[i]) == best, i
 
 
+def _best(rows, k=5):
+    """(vector, neighbour, rank, cosine) by comparing all with all."""
+    ids = np.array([i for i, _ in rows])
+    m = np.array([x for _, x in rows], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 6)
+    np.fill_diagonal(s, -9)
+    return {(int(ids[a]), int(ids[j]), r + 1, s[a, j]) for a in range(len(ids)) for r, j in enumerate(np.lexsort((ids, -s[a]))[:k])}
+
+
+def test_lists_are_complete(spark, monkeypatch):
+    """A graph alone leaves some lists short of a neighbour where cells are small and many."""
+    monkeypatch.setattr(nearest_vectors, "CELL", 30)
+    monkeypatch.setattr(nearest_vectors, "PART", 60)
+    monkeypatch.setattr(nearest_vectors, "CHUNK", 500, raising=False)
+    rows = _vectors(11, 1500, 24)
+    v = spark.createDataFrame(rows, "i long, v array<float>")
+    got = nearest_vectors.nearest(v, "i", "v", v, "i", 5, 24)
+    assert {(r.v, r.n, r["rank"], r.s) for r in got.collect()} == _best(rows)
+
+
+def test_an_id_with_an_invalid_vector_besides(spark, monkeypatch):
+    monkeypatch.setattr(nearest_vectors, "CELL", 30)
+    rows = _vectors(12, 400)
+    v = spark.createDataFrame([(i, [float("nan")] * 16) for i in range(0, 400, 3)] + rows, "i long, v array<float>")
+    got = nearest_vectors.nearest(v, "i", "v", v, "i", 5, 16)
+    assert {(r.v, r.n, r["rank"], r.s) for r in got.collect()} == _best(rows)
+
+
+def test_balls_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(nearest_vectors, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 32)), 10, axis=0) + rng.uniform(0.05, 1.2, (600, 1)) * rng.normal(size=(600, 32))
+    x = np.concatenate([x, x[:40] * 3.7]).astype(np.float32)  # scaled copies too
+    x /= 1 + np.arange(len(x))[:, None] % 7
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    ball = nearest_vectors._balls(unit.astype(np.float32))
+    order = np.argsort(ball, kind="stable")
+    t = pa.table({"v": order, "ball": ball[order].astype(np.int32), "norm": np.linalg.norm(x[order].astype(np.float64), axis=1), "x": nearest_vectors._binary(x[order])})
+    a, b = nearest_vectors.Balls(t.slice(100, 300), 32), nearest_vectors.Balls(t, 32)
+    s = unit[a.ids] @ unit[b.ids].T
+    least = rng.uniform(0.2, 1, 300)
+    got = [z for i, j, _ in nearest_vectors._reach(a, b, least, np.full(300, 10**9)) for z in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) >= set(zip(*(z.tolist() for z in np.nonzero(s >= least[:, None])), strict=True))
+    assert all(s[i, j] >= least[i] - 3e-4 for i, j in got)
+
+
 def test_greedy_search(spark):
     rows = _vectors(4)
     v = spark.createDataFrame(rows[:360], "i long, v array<float>")
